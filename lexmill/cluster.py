@@ -53,6 +53,16 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), with the columns of df computed once, before the filter.
+
+    A plain filter over computed columns is pushed below the projection that computes them, with
+    their expressions written out again; an array that a lambda refers to is then computed anew
+    for each element. The row number keeps the filter above the projection.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def null_safe_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     on = F.lit(True)
     for k in keys:
