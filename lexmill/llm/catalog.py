@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.cluster import table
-from lexmill.llm import copies, overlap, quality, repetition, sql, term_counts
+from lexmill.llm import copies, mixing, overlap, packing, pii, quality, repetition, sql, term_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,37 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_kept", sql.P5_KEPT)
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return copies.kept_candidates(table(spark, d, "merge_candidates_final_v1"))
+
+
+@query("p6_packed")
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+
+
+@query("p7_mixed")
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def _pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_mentions(table(spark, d, "documents"), table(spark, d, "name_lexicon"), table(spark, d, "common_words"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pii(spark, d).select("doc_id", "pii_kind", "start_char")
+
+
+@query("p8_redacted")
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), _pii(spark, d))
