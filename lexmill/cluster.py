@@ -68,6 +68,22 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all earlier rows in a global order, without one task seeing all rows.
+
+    Rows are range partitioned and sorted; sums per partition, then within partitions. `order` has
+    to be unique.
+    """
+    from pyspark.sql import Window
+
+    ranged = keep(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sums.select("__part", before.alias("__shift"))  # one row per partition
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(shifts), "__part").withColumn(name, within + F.col("__shift")).drop("__part", "__shift")
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition), with the columns of df computed once, before the filter.
 

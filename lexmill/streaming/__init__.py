@@ -1 +1 @@
-
+"""No stream operators: what is computed here is computed over whole corpora."""
