@@ -81,20 +81,27 @@ def fit(features: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 30, dep
     return Model(tuple(features), base, tuple(trees))
 
 
-def calibrated(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 200) -> Model:
-    """Platt scaling on a holdout, with the usual softened targets."""
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.5) -> Model:
+    """Platt scaling on a holdout: softened targets, and a pull towards the uncalibrated scale, as holdouts are small."""
     if len(set(y.tolist())) < 2:
         return model
     m, (pos, neg) = model.margins(x), (y.sum(), len(y) - y.sum())
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(steps):  # Newton with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        grad = np.array([((p - t) * m).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        hess = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+
+    def loss(v: np.ndarray) -> float:
+        z = v[0] * m + v[1]
+        return float((np.logaddexp(0, z) - t * z).sum() + ridge * ((v[0] - 1) ** 2 + v[1] ** 2))
+
+    v = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 0.5 * (1 + np.tanh((v[0] * m + v[1]) / 2))
+        w = p * (1 - p)
+        grad = np.array([((p - t) * m).sum() + 2 * ridge * (v[0] - 1), (p - t).sum() + 2 * ridge * v[1]])
+        hess = np.array([[(w * m * m).sum() + 2 * ridge, (w * m).sum()], [(w * m).sum(), w.sum() + 2 * ridge]])
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return Model(model.features, model.base, model.trees, float(a), float(b))
+    return Model(model.features, model.base, model.trees, float(v[0]), float(v[1]))

@@ -35,8 +35,8 @@ def parsed(candidates: DataFrame) -> DataFrame:
 
 
 def canonical_text(text: Column) -> Column:
-    """Letters and digits in order, case folded (upper case first, so that ß and SS are one)."""
-    return F.regexp_replace(F.lower(F.upper(text)), f"[^{ALNUM}]+", "")
+    """Letters and digits in order, case folded (ß and SS are one, as upper case has no ß)."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.upper(text)), "ß", "ss"), f"[^{ALNUM}]+", "")
 
 
 def canonical_form() -> Column:

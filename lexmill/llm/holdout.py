@@ -1,3 +1,84 @@
 """Documents read by eye: (1 structure or 0 prose, then the statistics in the order of quality.FEATURES)."""
 
-HOLDOUT: list[tuple] = []
+HOLDOUT: list[tuple] = [
+    (1, 0.1771, 67.24, 0, 0, 4.551, 49, 25, 12.76, 0.2041, 0.898, 0.2099),
+    (1, 0.1516, 64.81, 0, 0, 3.73, 63, 21, 15.19, 0.2624, 0.9683, 0.1924),
+    (1, 0, 0, 0, 0, 6.36, 111, 1, 816, 0, 1, 0.1348),
+    (1, 0.1333, 53.5, 0, 0, 6.5, 48, 16, 26.5, 0, 0.8958, 0.18),
+    (1, 0.2118, 49.68, 0, 0, 4.465, 155, 31, 30.32, 0.4969, 0.9419, 0.09485),
+    (1, 0.08125, 0, 0, 0, 11.76, 25, 1, 320, 0.3531, 1, 0),
+    (1, 0.5254, 0, 0, 0, 5.6, 5, 1, 86, 0, 1, 0.314),
+    (1, 0.04545, 54.48, 0, 0.2842, 5.968, 95, 27, 25.52, 0, 0.7053, 0.1692),
+    (1, 0, 0, 0, 0, 6.5, 162, 1, 1214, 0, 1, 0.1326),
+    (1, 0.2867, 0, 0, 0, 4.917, 84, 1, 745, 0, 0.3571, 0.2228),
+    (1, 0.09706, 62.35, 0, 0.5, 4.652, 66, 23, 17.65, 0, 0.4242, 0.2056),
+    (1, 0.06422, 64.62, 0, 0, 4.636, 22, 8, 15.38, 0.05385, 1, 0.1615),
+    (1, 0.8841, 0, 0, 0.3585, 1.057, 53, 1, 558, 0.02509, 0.09434, 0.1344),
+    (1, 0.4937, 0, 0, 0, 5.714, 7, 1, 114, 0, 1, 0.307),
+    (1, 0.03333, 66.2, 0, 0.5, 4.143, 14, 5, 13.8, 0, 0.6429, 0.1781),
+    (1, 0, 23, 0, 0.01872, 2.353, 374, 22, 57, 0.4643, 0.5642, 0.3098),
+    (1, 0, 23, 0, 0, 2.353, 136, 8, 57, 0.4773, 0.7721, 0.3089),
+    (1, 0, 0, 0, 0, 6.757, 74, 1, 573, 0, 1, 0.1274),
+    (1, 0.1042, 65.5, 0, 0.5, 4.3, 30, 12, 14.5, 0, 0.5667, 0.2216),
+    (1, 0, 67, 0, 0, 6, 40, 20, 13, 0, 0.875, 0.1398),
+    (1, 0, 0, 0, 0, 6.269, 156, 1, 1133, 0, 1, 0.1368),
+    (1, 0.2543, 46, 0, 0, 3.265, 132, 17, 34, 0.6717, 0.6288, 0.02694),
+    (1, 0.2571, 45, 0, 0, 3.25, 208, 26, 35, 0.6952, 0.625, 0.02674),
+    (1, 0.1056, 64.36, 0, 0.5, 4.233, 60, 22, 15.64, 0, 0.4167, 0.2219),
+    (1, 0.1241, 4.947, 0, 0.02604, 5.771, 192, 19, 75.05, 0.1385, 0.6562, 0.124),
+    (1, 0, 0, 0, 0, 5.945, 128, 1, 888, 0, 1, 0.143),
+    (1, 0.2468, 48.4, 0, 0, 3.306, 36, 5, 31.6, 0.6111, 0.7222, 0.02469),
+    (1, 0, 23, 0, 0, 2.353, 119, 7, 57, 0.4889, 0.8403, 0.3086),
+    (1, 0.311, 35.65, 0, 0, 3.264, 148, 20, 44.35, 0.4956, 0.6351, 0.2263),
+    (1, 0.1934, 57.91, 0, 0.08929, 3.5, 56, 11, 22.09, 0.1542, 0.8036, 0.03953),
+    (1, 0.9064, 0, 0, 0.3182, 1.136, 22, 1, 308, 0.03247, 0.2273, 0.1331),
+    (1, 0.1003, 64.23, 0, 0.5, 4.483, 58, 22, 15.77, 0, 0.4138, 0.2147),
+    (1, 0.08517, 61.45, 0, 0.3649, 3.919, 74, 20, 18.55, 0.07436, 0.5541, 0.1872),
+    (1, 0, 23, 0, 0.006536, 2.353, 306, 18, 57, 0.4803, 0.6242, 0.3097),
+    (1, 0.2058, 50.19, 0, 0, 4.551, 78, 16, 29.81, 0.4817, 0.9615, 0.09146),
+    (1, 0.07292, 64.29, 0, 0, 6.357, 14, 7, 15.71, 0, 1, 0.1724),
+    (1, 0.1866, 57.16, 0, 0.08247, 3.639, 97, 19, 22.84, 0.1659, 0.7423, 0.03982),
+    (1, 0.142, 54.88, 0, 0, 6.042, 48, 16, 25.12, 0, 0.9583, 0.1894),
+    (1, 0, 23, 0, 0.007353, 2.353, 272, 16, 57, 0.4649, 0.6801, 0.3096),
+    (1, 0.1272, 51.33, 0, 0.0137, 6.205, 73, 21, 28.67, 0.03376, 0.9315, 0.1656),
+    (1, 0.1786, 56.59, 0, 0.09259, 3.917, 108, 22, 23.41, 0.1604, 0.6667, 0.03918),
+    (1, 0.1667, 66.76, 0, 0, 4.706, 34, 17, 13.24, 0.1701, 1, 0.2033),
+    (1, 0, 57.29, 0, 0.2857, 5.776, 49, 14, 22.71, 0, 0.8571, 0.1797),
+    (1, 0.075, 64.67, 0, 0, 6.167, 12, 6, 15.33, 0, 1, 0.1753),
+    (0, 0.02507, 0, 1, 0.4231, 4.487, 156, 4, 217.5, 0, 0.4359, 0.1804),
+    (0, 0.02242, 0, 1, 0.4065, 5.317, 123, 3, 263, 0.01892, 0.748, 0.1564),
+    (0, 0.03542, 0, 1, 0.4304, 4.481, 79, 1, 440, 0.03864, 0.6582, 0.1659),
+    (0, 0.0235, 0, 1, 0.4096, 5.506, 83, 2, 274.5, 0, 0.7952, 0.1506),
+    (0, 0.02079, 0, 1, 0.4301, 4.559, 93, 3, 174.3, 0, 0.5699, 0.1784),
+    (0, 0.02212, 0, 1, 0.408, 5.304, 125, 3, 266.7, 0, 0.752, 0.1567),
+    (0, 0.0257, 0, 1, 0.4474, 5.487, 76, 2, 251, 0.003968, 0.7763, 0.1508),
+    (0, 0.03213, 31.5, 0.3333, 0.4375, 5.021, 48, 6, 48.5, 0.006734, 0.8542, 0.1616),
+    (0, 0.02601, 0, 1, 0.4459, 4.554, 74, 2, 208.5, 0, 0.6081, 0.1742),
+    (0, 0.02697, 0, 1, 0.4444, 5.211, 90, 1, 571, 0, 0.8, 0.1559),
+    (0, 0.02041, 0, 1, 0.4074, 5.333, 27, 1, 173, 0, 0.963, 0.1503),
+    (0, 0.02074, 0, 1, 0.4599, 4.825, 137, 1, 811, 0, 0.3504, 0.1677),
+    (0, 0.04545, 0, 1, 0.3472, 5.25, 72, 1, 460, 0.02391, 0.9167, 0.1391),
+    (0, 0.02797, 0, 1, 0.4717, 5.245, 106, 3, 225, 0, 0.7453, 0.1576),
+    (0, 0.02837, 0, 1, 0.4078, 5.32, 103, 3, 221, 0.01504, 0.8058, 0.1519),
+    (0, 0.01708, 0, 0.6667, 0.4194, 5.57, 93, 3, 205.7, 0, 0.7634, 0.1514),
+    (0, 0.02204, 0, 1, 0.4105, 5.137, 95, 1, 593, 0, 0.8211, 0.1585),
+    (0, 0.02414, 0, 1, 0.4151, 5.34, 53, 1, 342, 0.005848, 0.8868, 0.152),
+    (0, 0.02662, 0, 1, 0.4545, 5.318, 110, 3, 236, 0, 0.7091, 0.1559),
+    (0, 0.01767, 0, 1, 0.4488, 5.252, 127, 3, 267.7, 0, 0.7244, 0.1586),
+    (0, 0.02056, 0, 1, 0.4901, 4.417, 151, 1, 831, 0, 0.4702, 0.1805),
+    (0, 0.01711, 0, 1, 0.3803, 5.662, 71, 1, 479, 0, 0.8028, 0.1461),
+    (0, 0.02954, 0, 1, 0.3908, 5.287, 87, 1, 558, 0.01971, 0.7701, 0.1505),
+    (0, 0.01996, 0, 1, 0.4872, 4.615, 117, 2, 333, 0, 0.5641, 0.1739),
+    (0, 0.02222, 0, 1, 0.425, 4.4, 40, 1, 219, 0, 0.7, 0.1781),
+    (0, 0.02131, 0, 1, 0.4621, 4.434, 145, 2, 400, 0, 0.4483, 0.1808),
+    (0, 0.02262, 0, 1, 0.4737, 4.547, 95, 1, 535, 0, 0.6, 0.1738),
+    (0, 0.03185, 0, 0.5, 0.431, 5.241, 58, 2, 185, 0, 0.8276, 0.1559),
+    (0, 0.02778, 0, 1, 0.3937, 5.236, 127, 2, 404.5, 0.002469, 0.7323, 0.1556),
+    (0, 0.02932, 0, 1, 0.4545, 4.399, 143, 3, 262, 0.01013, 0.5245, 0.1797),
+    (0, 0.02235, 0, 1, 0.3438, 5.469, 64, 2, 210, 0.009479, 0.8906, 0.1517),
+    (0, 0.02265, 17.5, 0.1667, 0.4444, 4.194, 72, 6, 62.5, 0, 0.5417, 0.1868),
+    (0, 0.02756, 0, 1, 0.4423, 4.75, 52, 2, 152, 0, 0.6538, 0.1672),
+    (0, 0.0302, 0, 1, 0.4545, 5.255, 55, 1, 352, 0, 0.8727, 0.1534),
+    (0, 0.02689, 0, 1, 0.4144, 5.216, 111, 3, 234.3, 0.01697, 0.8108, 0.1584),
+    (0, 0.0233, 0, 1, 0.4231, 5.24, 104, 3, 219.7, 0.001513, 0.75, 0.1558),
+]

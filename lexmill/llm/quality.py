@@ -32,7 +32,7 @@ SAMPLE_ROWS = 1500
 #: Least documents of each weak class for a model to be fitted.
 LEAST_ROWS = 20
 #: A document below this probability of being structural is taken for prose without a further check.
-GATE = 0.02
+GATE = 0.25
 #: Most entries the list of common words may have (it is compiled into the projection).
 MOST_WORDS = 10_000
 
