@@ -18,12 +18,12 @@ def variant(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, "vocab").where(VARIANTS[name])
 
 
-def matches(name: str = "full", prefix: str = "") -> str:
+def matches(name: str = "full", prefix: str = "", source: str = "documents") -> str:
     """CTEs lit, m (doc_id, shard_name, ix, x, id): greedy matches, id null where bytes stand in."""
     return rf"""
 {prefix}lit AS (SELECT piece, min(id) AS id FROM vocab WHERE NOT regexp_matches(piece, '^<0x[0-9A-Fa-f]{{2}}>$') AND ({VARIANTS[name]}) GROUP BY piece),
 {prefix}pat AS (SELECT string_agg(regexp_escape(piece), '|' ORDER BY length(piece) DESC, piece) || '|(?s:.)' AS p FROM {prefix}lit),
-{prefix}cut AS (SELECT doc_id, shard_name, regexp_extract_all(coalesce(text, ''), (SELECT p FROM {prefix}pat)) AS m FROM documents),
+{prefix}cut AS (SELECT doc_id, shard_name, regexp_extract_all(coalesce(text, ''), (SELECT p FROM {prefix}pat)) AS m FROM {source}),
 {prefix}m AS (SELECT c.doc_id, c.shard_name, c.ix, c.x, l.id FROM (SELECT doc_id, shard_name, unnest(m) AS x, generate_subscripts(m, 1) AS ix FROM {prefix}cut) c LEFT JOIN {prefix}lit l ON c.x = l.piece)"""
 
 
