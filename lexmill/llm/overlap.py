@@ -1,8 +1,8 @@
 """Evaluation records that also stand in the training split, exactly or nearly (problem 4).
 
 Exact prefix-filter join of two sides. Every record becomes the set of its distinct word shingles;
-records with equal sets are one class. Shingles are ordered rare first. Of each set, only a prefix
-can decide whether it reaches the similarity with another: the evaluation prefixes are the index,
+records with equal sets are one class. Shingles are ordered: those of one side only first, then rare
+ones before common ones. Of each set, only a prefix can decide whether it reaches the similarity with another: the evaluation prefixes are the index,
 the training prefixes probe it, and length and position filters drop what cannot reach it any
 more. What is left is verified on the whole sets.
 
@@ -64,13 +64,16 @@ def similar_classes(members: DataFrame, threshold: float) -> DataFrame:
     size = F.size("s")
     tokens = sets.select("c1", "c2", "is_train", size.alias("size"), F.explode("s").alias("g"))
     both = tokens.groupBy("g").agg(F.count("*").alias("n_g"), F.count_if("is_train").alias("n_t"))
-    both = keep(both.withColumn("n_e", F.col("n_g") - F.col("n_t")), "shingles")
-    ranked = hot_lookup(tokens, both, ["g"], "n_g")
+    both = both.withColumn("n_e", F.col("n_g") - F.col("n_t")).where("n_t > 0 and n_e > 0")
+    # shingles of one side only come first in the order of all; they join nothing and are but counted
+    ranked = hot_lookup(tokens, keep(both, "shingles"), ["g"], "n_g")
     order = F.array_sort(F.collect_list(F.struct("n_g", "g", "n_t", "n_e")))
-    sorted_sets = ranked.groupBy("c1", "c2", "is_train").agg(order.alias("o"), F.first("size").alias("size"))
-    prefix = F.slice("o", 1, (F.col("size") - _needed(F.col("size"), threshold) + 1))
-    entries = sorted_sets.select("c1", "c2", "is_train", "size", F.posexplode(prefix).alias("at", "x")).select("c1", "c2", "is_train", "size", "at", "x.*")
-    entries = keep(entries.where("n_t > 0 and n_e > 0"), "prefixes")  # a shingle of one side joins nothing
+    shared = ranked.groupBy("c1", "c2", "is_train").agg(order.alias("o"), F.first("size").alias("size"))
+    alone = F.col("size") - F.size("o")
+    inside = F.col("size") - _needed(F.col("size"), threshold) + 1 - alone
+    prefix = shared.withColumns({"alone": alone, "inside": inside}).where("inside > 0")
+    entries = prefix.select("c1", "c2", "is_train", "size", "alone", F.posexplode(F.slice("o", 1, F.col("inside"))).alias("at", "x"))
+    entries = keep(entries.select("c1", "c2", "is_train", "size", (F.col("at") + F.col("alone")).alias("at"), "x.*"), "prefixes")
     salts = F.ceil(F.col("n_t") / SALT_ROWS).cast("int")
     probe = entries.where("is_train").select("g", F.pmod(F.xxhash64("c1"), salts.cast("bigint")).alias("salt"), F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("size").alias("t_size"), F.col("at").alias("t_at"))
     index = entries.where("not is_train").select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)).alias("salt"), F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("size").alias("e_size"), F.col("at").alias("e_at"))
