@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores where their files make fewer parts than there are cores.
+
+    Work on texts is heavy per row; a corpus of any size has parts enough and is read as it is.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per session."""
     if getattr(spark, "_lexmill_shipped", False):

@@ -52,7 +52,7 @@ def line_features(docs: DataFrame) -> DataFrame:
 
 def word_spans(docs: DataFrame) -> DataFrame:
     """doc_id, span: words of three letters and more, with the space before them where there is one."""
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r" ?\p{L}{3,}"), F.lit(0))).alias("span"))
+    return docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r" ?\p{L}{3,}"), F.lit(0))).alias("span")).where("span is not null")
 
 
 def mined_additions(docs: DataFrame, vocab: DataFrame, least: int = 3) -> DataFrame:

@@ -246,7 +246,7 @@ def phrase_usage(docs: DataFrame, phrases: DataFrame) -> DataFrame:
         return docs.select(F.lit("").alias("placeholder"), F.lit(0).cast("bigint").alias("uses"), F.lit(0).cast("bigint").alias("docs")).limit(0)
     either = "|".join(r"\s+".join(f"\\Q{w}\\E" for w in t.split()) for t in sorted(marks, key=lambda t: (-len(t), t)))
     pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("x"))
+    found = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("x")).where("x is not null")
     table = docs.sparkSession.createDataFrame(list(marks.items()), "key string, placeholder string")
     keyed = found.select("doc_id", F.lower(F.regexp_replace("x", r"\s+", " ")).alias("key")).join(F.broadcast(table), "key")
     return keyed.groupBy("placeholder").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))

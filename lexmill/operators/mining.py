@@ -20,20 +20,30 @@ def scoped(tokens: DataFrame, scope: Column) -> DataFrame:
     return tokens.withColumn("scope", F.coalesce(scope.cast("string"), F.lit("")))
 
 
+def _packed(n: int) -> Column:
+    """Up to three 16-bit ids in one integer, the first in the highest place."""
+    return reduce(lambda a, b: F.shiftleft(a, 16).bitwiseOR(b), (F.col(f"i{k}").cast("bigint") for k in range(n)))
+
+
+def _unpacked(key: Column, n: int) -> Column:
+    return F.concat_ws(" ", *(F.shiftright(key, 16 * (n - 1 - k)).bitwiseAND(F.lit(0xFFFF)).cast("string") for k in range(n)))
+
+
 def grams(stream: DataFrame, n: int) -> DataFrame:
-    """One row per place of an n-gram: scope, gram (ids joined by blanks), before, after, and the ids i0.."""
+    """One row per place of an n-gram (n up to 3): scope, its ids packed into key, before, after."""
+    if not 1 <= n <= 3:
+        raise ValueError("n: 1 to 3")
     w = _stream()
     ids = [F.col("id").alias("i0"), *(F.lead("id", k).over(w).alias(f"i{k}") for k in range(1, n))]
-    rows = stream.select("scope", "doc_id", "at", "byte_no", *ids, F.lag("id").over(w).alias("before"), F.lead("id", n).over(w).alias("after"))
-    return rows.where(f"i{n - 1} is not null").withColumn("gram", F.concat_ws(" ", *(f"i{k}" for k in range(n))))
+    rows = stream.select("scope", *(["pos"] if "pos" in stream.columns else []), *ids, F.lag("id").over(w).alias("before"), F.lead("id", n).over(w).alias("after"))
+    return rows.where(f"i{n - 1} is not null").withColumn("key", _packed(n))
 
 
 def gram_counts(stream: DataFrame, n: int, least: int = 1) -> DataFrame:
     """n, gram, occurrences, streams it occurs in, capped numbers of distinct neighbours on both sides."""
-    each = grams(stream, n).groupBy("gram").agg(
-        F.count("*").alias("freq"), F.count_distinct("scope").alias("shard_count"), *(F.least(F.count_distinct(side), F.lit(MOST_CONTEXTS)).alias(f"{side}_contexts") for side in ("before", "after"))
-    )
-    return each.where(F.col("freq") >= least).select(F.lit(n).alias("n"), "gram", "freq", "shard_count", "before_contexts", "after_contexts")
+    rows = grams(stream, n).select("key", F.xxhash64("scope").alias("scope"), "before", "after")
+    each = rows.groupBy("key").agg(F.count("*").alias("freq"), F.count_distinct("scope").alias("shard_count"), *(F.least(F.count_distinct(side), F.lit(MOST_CONTEXTS)).alias(f"{side}_contexts") for side in ("before", "after")))
+    return each.where(F.col("freq") >= least).select(F.lit(n).alias("n"), _unpacked(F.col("key"), n).alias("gram"), "freq", "shard_count", "before_contexts", "after_contexts")
 
 
 def merge_values(stream: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 20) -> DataFrame:
@@ -72,8 +82,8 @@ def candidate_grams(candidates: DataFrame, n: int) -> DataFrame:
 
 def naive_savings(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataFrame:
     """Occurrences of each candidate and what merging all of them would save, overlaps not considered."""
-    found = grams(stream, n).groupBy("gram").agg(F.count("*").alias("occurrences"))
-    return candidate_grams(candidates, n).join(found, "gram").select("gram", "recorded_freq", "occurrences", (F.col("occurrences") * (n - 1)).alias("naive_saved"))
+    found = grams(stream, n).groupBy("key").agg(F.count("*").alias("occurrences"))
+    return candidate_grams(candidates, n).join(found.select(_unpacked(F.col("key"), n).alias("gram"), "occurrences"), "gram").select("gram", "recorded_freq", "occurrences", (F.col("occurrences") * (n - 1)).alias("naive_saved"))
 
 
 def greedy_merges(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataFrame:
@@ -83,8 +93,9 @@ def greedy_merges(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataF
     reaches from one island into the next, so the pass runs within islands, not over the stream.
     """
     place = stream.withColumn("pos", F.row_number().over(_stream()))
-    starts = grams(place.drop("pos"), n).select("scope", "doc_id", "at", "byte_no", "gram").join(candidate_grams(candidates, n).select("gram"), "gram", "left_semi")
-    marked = starts.join(place.select("scope", "doc_id", "at", "byte_no", "pos"), ["scope", "doc_id", "at", "byte_no"])
+    ids = [F.split("gram", " ")[k].cast("int").alias(f"i{k}") for k in range(n)]
+    keys = candidate_grams(candidates, n).select(*ids).select(_packed(n).alias("key")).distinct()
+    marked = grams(place, n).select("scope", "pos", "key").join(keys, "key", "left_semi")
     w = Window.partitionBy("scope").orderBy("pos")
     fresh = F.coalesce(F.col("pos") - F.lag("pos").over(w) >= n, F.lit(True))
     islands = marked.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(w))

@@ -37,7 +37,8 @@ def greedy_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def token_rows(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row per greedy token: doc_id, at, byte_no, id, piece, is_byte; (at, byte_no) is the order in the document."""
-    rows = greedy_pieces(docs, vocab).select("doc_id", F.posexplode("m").alias("at", "x"))
+    # the outer form, as the plain one makes Spark cut every text a second time to drop empty ones first
+    rows = greedy_pieces(docs, vocab).select("doc_id", F.posexplode_outer("m").alias("at", "x")).where("x is not null")
     literal = vocab.where(~F.col("piece").rlike("^<0x[0-9A-Fa-f]{2}>$")).groupBy("piece").agg(F.min("id").alias("id"))
     known = rows.join(literal, rows.x == literal.piece, "left")
     pairs = F.regexp_extract_all(F.hex(F.encode("x", "utf-8")), F.lit(".."), F.lit(0))

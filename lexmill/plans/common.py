@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.cluster import table
+from lexmill.cluster import documents, table
 
 #: Vocabulary variants, as conditions that Spark and DuckDB both read.
 VARIANTS = {"full": "true", "short": "kind = 'byte' OR length(piece) <= 3", "led": "kind = 'byte' OR piece LIKE ' %'"}
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return documents(spark, d)
 
 
 def variant(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -91,7 +91,7 @@ def piece_gains_and_losses(spark: SparkSession, d: str) -> DataFrame:
     def pieces(name: str) -> DataFrame:
         vocab = variant(spark, d, name)
         known = tk.literal_pieces(vocab)
-        each = tk.greedy_pieces(docs_of(spark, d), vocab).select("doc_id", F.explode("m").alias("x"))
+        each = tk.greedy_pieces(docs_of(spark, d), vocab).select("doc_id", F.explode_outer("m").alias("x")).where("x is not null")
         return each.select("doc_id", F.when(F.col("x").isin(known), F.col("x")).otherwise("<bytes>").alias("piece"))
 
     return inspection.gains_and_losses(pieces("short"), pieces("full"))
