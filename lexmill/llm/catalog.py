@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.cluster import table
+from lexmill.cluster import documents, table
 from lexmill.llm import copies, mixing, overlap, packing, pii, quality, repetition, sql, term_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,28 +36,28 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p2_found", sql.P2_FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.structural_documents(table(spark, d, "documents"), table(spark, d, "common_words")).select("doc_id")
+    return quality.structural_documents(documents(spark, d), table(spark, d, "common_words")).select("doc_id")
 
 
 @query("p2_metrics", sql.P2_METRICS)
 def p2_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.sample_metrics(table(spark, d, "documents"))
+    return quality.sample_metrics(documents(spark, d))
 
 
 @query("p2_scores")
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    return quality.scored_documents(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.scored_documents(documents(spark, d), table(spark, d, "common_words"))
 
 
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetitive_documents(table(spark, d, "documents")).select("doc_id")
+    return repetition.repetitive_documents(documents(spark, d)).select("doc_id")
 
 
 @query("p3_profile")
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     stops = quality.common_word_list(table(spark, d, "common_words"))
-    return repetition.repetition_profile(table(spark, d, "documents"), stops).drop("text")
+    return repetition.repetition_profile(documents(spark, d), stops).drop("text")
 
 
 @query("p4_found", sql.P4_FOUND)
@@ -82,26 +82,26 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_packed")
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+    return packing.packed_documents(documents(spark, d), table(spark, d, "pack_plans"))
 
 
 @query("p6_fill")
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing_report(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+    return packing.packing_report(documents(spark, d), table(spark, d, "pack_plans"))
 
 
 @query("p7_mixed")
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixed_documents(documents(spark, d), table(spark, d, "mix_targets"))
 
 
 @query("p7_shares")
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture_report(documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def _pii(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found_mentions(table(spark, d, "documents"), table(spark, d, "name_lexicon"), table(spark, d, "common_words"))
+    return pii.found_mentions(documents(spark, d), table(spark, d, "name_lexicon"), table(spark, d, "common_words"))
 
 
 @query("p8_found")
@@ -111,4 +111,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_redacted")
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(table(spark, d, "documents"), _pii(spark, d))
+    return pii.redacted(documents(spark, d), _pii(spark, d))
