@@ -49,7 +49,7 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored_documents(documents(spark, d), table(spark, d, "common_words"))
 
 
-@query("p3_found")
+@query("p3_found", sql.P3_FOUND)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive_documents(documents(spark, d)).select("doc_id")
 

@@ -11,7 +11,7 @@ import re
 
 Mention = tuple[str, int, int, bool, str | None, str | None, bool, list[str]]
 
-_GAP = r"(?:[ \t ]{1,2}|[ \t]{0,2}\r?\n[ \t]{0,2})"
+_GAP = r"(?:[ \t ]{1,2}|[ ]{4}|[ \t]{0,2}\r?\n[ \t]{0,2})"
 _I = re.IGNORECASE
 
 # Cheap tests on lower-cased text, made before a pattern is tried.
@@ -50,8 +50,8 @@ _LABEL = (
     r"|DNI|NIF|NIE|documento[\s]+(?:nacional[\s]+)?de[\s]+identidad|(?:número[\s]+de[\s]+)?pasaporte|número[\s]+de[\s]+(?:la[\s]+)?seguridad[\s]+social|número[\s]+de[\s]+identificación(?:[\s]+fiscal)?|carné[\s]+de[\s]+identidad"
     r"|NIR|(?:numéro|n[°º])[\s]+de[\s]+sécu(?:rité[\s]+sociale)?|numéro[\s]+fiscal|numéro[\s]+de[\s]+passeport|passeport|numéro[\s]+de[\s]+carte[\s]+d[’']identité|carte[\s]+d[’']identité(?:[\s]+numéro)?)"
 )
-_VALUE = r"(?=(?:[A-Za-z0-9][ \-.]{0,2}){6,})(?:[12](?:[ ]{1,2}\d\d){3}[ ]{1,2}\d{3}[ ]{1,2}\d{3}(?:[ ]{1,2}\d\d)?|[A-Za-z]{0,2}[ ]{0,2}\d(?:[ \-.\n]{0,2}\d){4,14}(?:[ \-]{0,2}[A-Za-z](?![A-Za-z]))?|[A-Za-z0-9]*\d[A-Za-z0-9]*\d[A-Za-z0-9]*\d[A-Za-z0-9]*)"
-_LABELLED = re.compile(rf"(?<![\w]){_LABEL}[\s]*(?:[:#=]|n[º°o]\.?|Nr\.?|no\.?)?[\s]*[#:]?[\s]*(?P<v>{_VALUE})(?![\w])", _I)
+_VALUE = r"(?=(?:[A-Za-z0-9][ \-.\r\n]{0,2}){6,})(?:[12](?:[ ]{1,2}\d\d){3}[ ]{1,2}\d{3}[ ]{1,2}\d{3}(?:[ ]{1,2}\d\d)?|[A-Za-z]{0,2}[ ]{0,2}\d(?:[ \-.\r\n]{0,2}\d){4,14}(?:[ \-]{0,2}[A-Za-z](?![A-Za-z]))?|[A-Za-z0-9]*\d[A-Za-z0-9]*\d[A-Za-z0-9]*\d[A-Za-z0-9]*)"
+_LABELLED = re.compile(rf"(?<![\w]){_LABEL}[\s]*(?:[:#=\-–]|n[º°o]\.?|Nr\.?|no\.?)?[\s]*[#:]?[\s]*(?P<v>{_VALUE})(?![\w])", _I)
 _BARE_ID = re.compile(r"(?<![\w\-/.])(?:\d{3}-\d\d-\d{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?: ?\d\d){3} ?[A-D]|[XYZ]\d{7}-?[A-Z]|\d{8}-?[A-HJ-NP-TV-Z])(?![\w\-/])")
 _SOME_ID = re.compile(r"(?<![\w\-/.,:=<])(?=[A-Z0-9\-]{8,16}(?![\w]))(?:[A-Z]{1,2}\d{6,9}[A-Z]?|\d{2}-\d{7}|\d{9}|\d{11}|\d{15}|[A-Z]\d{7}[A-Z])(?![\w\-/.]\d|\w)|(?<![\w\-/.,:=<\d])(?<!\d[ ,])(?:\d{3}[ ]{1,2}\d\d[ ]{1,2}\d{4}|\d\d(?:[ ]{1,2}\d{3}){3}|[12](?:[ ]{1,2}\d\d){3}(?:[ ]{1,2}\d{3}){2}[ ]{1,2}\d\d)(?![\w\-/]|[ ,]\d)")
 
@@ -158,6 +158,8 @@ def mentions(text: str, given: frozenset[str], family: frozenset[str], common: f
         near = text[a:b].lower()
         if n_digits >= 5 and any(k in near for k in _LABEL_KEYS):
             for m in _LABELLED.finditer(text, a, b):
+                if "\n" in m["v"] and sum(c.isdigit() for c in m["v"]) < 8:
+                    continue  # a short number at a line's end and the number of the next line
                 add("id_number", m.start("v"), m.end("v"), True, _contexts(text, m.start("v"), m.end("v"), emails))
         if n_digits >= 9:
             for m in _PHONE.finditer(text, a, b):
@@ -180,8 +182,8 @@ def mentions(text: str, given: frozenset[str], family: frozenset[str], common: f
             return
         if free(a, b):
             first = "." if g.endswith(".") else low_g.split("-")[0]
-            whole = text[a:b]  # broken over lines, in capitals or garbled, only known words make it a name
-            plain = "\n" not in whole and not (f.isupper() and len(f) > 1) and "Ã" not in whole
+            whole = text[a:b]  # in capitals or garbled, only known words make it a name
+            plain = not (f.isupper() and len(f) > 1) and "Ã" not in whole
             out.append(("name", a, b, False, first, low_f, turned, _contexts(text, a, b, emails) if plain else []))
 
     at = 0

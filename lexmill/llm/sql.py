@@ -51,6 +51,17 @@ SELECT doc_id, CAST(n AS INT) AS decoded_chars, CAST(len(w) AS INT) AS decoded_w
 FROM w
 """
 
+P3_FOUND = rf"""
+WITH t AS (SELECT doc_id, text AS t, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE regexp_matches(text, '[^{_WS}]')),
+g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) >= 30),
+phrases AS (SELECT doc_id FROM g GROUP BY doc_id HAVING count(*) - count(DISTINCT g) >= 0.25 * count(*)),
+c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM t),
+r AS (SELECT doc_id, c, i, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM c WHERE NOT regexp_matches(c, '^[{_WS}]+$')),
+l AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id, c, run HAVING count(*) >= 5),
+runs AS (SELECT doc_id FROM l JOIN t USING (doc_id) GROUP BY doc_id, t HAVING sum(n) >= 0.15 * length(t))
+SELECT doc_id FROM phrases UNION SELECT doc_id FROM runs
+"""
+
 P4_FOUND = r"""
 WITH once AS (SELECT * FROM shard_summaries QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY loaded_at NULLS LAST) = 1),
 p AS (SELECT shard_id * 1000 + i - 1 AS k, regexp_extract(lower(shard_name), '_(train|val|test)_', 1) AS split,

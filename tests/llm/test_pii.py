@@ -68,3 +68,10 @@ def test_redaction_keeps_the_rest(spark, make):
 def test_empty(make):
     docs = make([], "doc_id bigint, text string")
     assert found(make, []) == ({}, {}) and docs.count() == 0
+
+
+def test_broken_and_spaced_out_mentions(make):
+    texts = ["Passport: 108\n18. Tokenizer: 49", "Ausweisnummer 83 194\n466 429.", "Gracias    a    Rose    Thornquist    por", "passport no - K95182612 into"]
+    spans, _ = found(make, texts)
+    assert 0 not in spans and spans[1] == {("id_number", "83 194\n466 429")}
+    assert spans[2] == {("name", "Rose    Thornquist")} and spans[3] == {("id_number", "K95182612")}
