@@ -22,16 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.cluster import hot_lookup, keep
 from lexmill.functions.text import ALNUM
-
-FIELDS = {"n": "int", "ids": "array<int>", "freq": "bigint", "text": "string", "class": "string"}
-_JSON = "n int, ids array<int>, freq bigint, text string, normalized_text string, class string"
-
-
-def parsed(candidates: DataFrame) -> DataFrame:
-    """cand_id and FIELDS, read from the raw record where there is one."""
-    raw = F.from_json("record", _JSON, {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
-    rows = candidates.select("cand_id", raw.alias("raw"), *(F.col(f"`{k}`").cast(kind).alias(k) for k, kind in FIELDS.items()))
-    return rows.select("cand_id", *(F.coalesce(F.col(f"raw.`{k}`"), F.col(f"`{k}`")).alias(k) for k in FIELDS))
+from lexmill.operators.curation import parsed
 
 
 def canonical_text(text: Column) -> Column:

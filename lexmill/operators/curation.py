@@ -44,6 +44,17 @@ TAILS = ["ment", "tion", "ness", "able", "less"]
 
 _WORD = r"[A-Za-z]+(?:[’'][A-Za-z]+)?"
 
+#: The fields of a candidate, which come as columns or in the raw JSON of `record`.
+FIELDS = {"n": "int", "ids": "array<int>", "freq": "bigint", "text": "string", "class": "string"}
+_JSON = "n int, ids array<int>, freq bigint, text string, normalized_text string, class string"
+
+
+def parsed(candidates: DataFrame, *more: str) -> DataFrame:
+    """cand_id, FIELDS and the columns named in `more`; fields are read from the raw record where there is one."""
+    raw = F.from_json("record", _JSON, {"mode": "PERMISSIVE", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
+    rows = candidates.select("cand_id", *more, raw.alias("raw"), *(F.col(f"`{k}`").cast(kind).alias(k) for k, kind in FIELDS.items()))
+    return rows.select("cand_id", *more, *(F.coalesce(F.col(f"raw.`{k}`"), F.col(f"`{k}`")).alias(k) for k in FIELDS))
+
 
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.cluster import documents, table
+from lexmill.operators.curation import parsed
 
 #: Vocabulary variants, as conditions that Spark and DuckDB both read.
 VARIANTS = {"full": "true", "short": "kind = 'byte' OR length(piece) <= 3", "led": "kind = 'byte' OR piece LIKE ' %'"}
@@ -14,6 +15,11 @@ def docs_of(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d)
 
 
+def candidates_of(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The candidates that have a text, those that came as raw JSON included."""
+    return parsed(table(spark, d, "merge_candidates_final_v1"), *more).where("text is not null")
+
+
 def variant(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, "vocab").where(VARIANTS[name])
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.catalog import query
-from lexmill.cluster import keep, table
+from lexmill.cluster import keep
 from lexmill.operators import curation as cu
-from lexmill.plans.common import docs_of
+from lexmill.plans.common import candidates_of, docs_of
 
 
 def _in(values: list[str]) -> str:
@@ -29,7 +29,7 @@ _TEXTS = "SELECT cand_id, text FROM merge_candidates_final_v1 WHERE text IS NOT
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "merge_candidates_final_v1").where("text is not null").select("cand_id", "text")
+    return candidates_of(spark, d).select("cand_id", "text")
 
 
 @query(
@@ -92,7 +92,7 @@ def subword_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query("candidate_dedupe")
 def candidate_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """First-wins by ids or normalized text, in order of cand_id; held against a sequential pass in the tests."""
-    rows = table(spark, d, "merge_candidates_final_v1").where("text is not null").select(F.col("cand_id").alias("ord"), "ids", F.lower(cu.normalized(F.col("text"))).alias("norm"))
+    rows = candidates_of(spark, d).select(F.col("cand_id").alias("ord"), "ids", F.lower(cu.normalized(F.col("text"))).alias("norm"))
     return cu.first_wins(rows)
 
 
@@ -104,23 +104,23 @@ _FORCED = f"""SELECT text, 'PHRASE_' || regexp_replace(regexp_replace(upper(text
 
 @query("forced_phrases", _FORCED)
 def forced_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return cu.forced_phrases(table(spark, d, "merge_candidates_final_v1"), _CLASSES)
+    return cu.forced_phrases(candidates_of(spark, d), _CLASSES)
 
 
 @query("boost_corpus", f"SELECT text, unnest(range(1, 81))::INT AS copy FROM ({_FORCED})")
 def boost_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return cu.boost_corpus(cu.forced_phrases(table(spark, d, "merge_candidates_final_v1"), _CLASSES))
+    return cu.boost_corpus(cu.forced_phrases(candidates_of(spark, d), _CLASSES))
 
 
 def _phrase_list(spark: SparkSession, d: str) -> list[tuple[str, str]]:
-    rows = cu.forced_phrases(table(spark, d, "merge_candidates_final_v1"), _CLASSES, 20).collect()
+    rows = cu.forced_phrases(candidates_of(spark, d), _CLASSES, 20).collect()
     return [(r.text, r.placeholder) for r in sorted(rows, key=lambda r: (-len(r.text), -r.freq, r.text))]
 
 
 @query("phrase_usage")
 def phrase_usage(spark: SparkSession, d: str) -> DataFrame:
     """How often, and in how many documents, each forced phrase occurs; held against brute force in the tests."""
-    return cu.phrase_usage(docs_of(spark, d), cu.forced_phrases(table(spark, d, "merge_candidates_final_v1"), _CLASSES))
+    return cu.phrase_usage(docs_of(spark, d), cu.forced_phrases(candidates_of(spark, d), _CLASSES))
 
 
 @query("phrase_round_trip", "SELECT count(*) AS docs, count(*) AS restored FROM documents")

@@ -12,7 +12,7 @@ from lexmill.operators import building, inspection
 from lexmill.operators import curation as cu
 from lexmill.operators import evaluation as ev
 from lexmill.operators import tokens as tk
-from lexmill.plans.common import counts, docs_of, matches, variant
+from lexmill.plans.common import candidates_of, counts, docs_of, matches, variant
 from lexmill.plans.vocabularies import _build, built
 
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -159,7 +159,7 @@ def segmentation_differences(spark: SparkSession, d: str) -> DataFrame:
 @query("candidate_merge")
 def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of several files merged by priority of the file, then by place: first by ids or text wins."""
-    rows = table(spark, d, "merge_candidates_final_v1").where("text is not null")
+    rows = candidates_of(spark, d, "source_file")
     rank = F.dense_rank().over(building.Window.orderBy(F.col("source_file").asc_nulls_last()))
     files = rows.select("source_file").distinct().withColumn("file_rank", rank)
     keyed = rows.join(F.broadcast(files), rows.source_file.eqNullSafe(files.source_file)).select((F.col("file_rank") * 10**15 + F.col("cand_id")).alias("ord"), "ids", F.lower(cu.normalized(F.col("text"))).alias("norm"))
