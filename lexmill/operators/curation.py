@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,38 +234,145 @@ def boost_corpus(phrases: DataFrame, times: int = 80) -> DataFrame:
     return phrases.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
 
 
-def substituted(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
-    """doc_id, text with phrases (longest first) replaced by their placeholders, whatever their case."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    for text, mark in phrases:
-        quoted = r"\s+".join(f"\\Q{w}\\E" for w in text.split())
-        t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}]){quoted}(?![\p{{L}}\p{{N}}])", mark)
-    return docs.select("doc_id", t.alias("text"))
+_SPACE = r" \t\n\x0b\f\r"
+_START = re.compile(rf"(?<![^\W_])(?=([^{_SPACE}]+))[^{_SPACE}]")
+_NEXT = re.compile(rf"[{_SPACE}]+([^{_SPACE}]+)")
+_MARK = re.compile("PHRASE_[A-Z0-9_]*")
 
 
-def phrase_usage(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """placeholder, uses, docs: occurrences of the phrases in one pass over each text, longest phrase first.
+def _low(text: str) -> str:
+    """Lower case, character by character where the whole would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-    phrases (text, placeholder) is a forced list of at most some hundreds; it becomes one pattern.
-    """
-    listed = phrases.select("text", "placeholder").limit(1001).collect()
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 phrases")
-    marks = {}
-    for r in sorted(listed, key=lambda r: r.text):
-        marks.setdefault(" ".join(r.text.lower().split()), r.placeholder)
-    if not marks:
-        return docs.select(F.lit("").alias("placeholder"), F.lit(0).cast("bigint").alias("uses"), F.lit(0).cast("bigint").alias("docs")).limit(0)
-    either = "|".join(r"\s+".join(f"\\Q{w}\\E" for w in t.split()) for t in sorted(marks, key=lambda t: (-len(t), t)))
-    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
-    found = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("x")).where("x is not null")
-    table = docs.sparkSession.createDataFrame(list(marks.items()), "key string, placeholder string")
-    keyed = found.select("doc_id", F.lower(F.regexp_replace("x", r"\s+", " ")).alias("key")).join(F.broadcast(table), "key")
-    return keyed.groupBy("placeholder").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))
+
+class Phrases:
+    """Finds listed phrases in texts, whatever their case and spacing; a step costs the same for any number of phrases."""
+
+    def __init__(self, phrases: list[tuple[str, str]]):
+        self.root: tuple[dict, dict] = ({}, {})  # further words, last words
+        for text, mark in phrases:
+            parts = _low(text).split()
+            node = self.root
+            for part in parts[:-1]:
+                node = node[0].setdefault(part, ({}, {}))
+            if parts:
+                node[1].setdefault(parts[-1], mark)
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """start, stop, mark of the leftmost, then longest phrases that no letter or digit adjoins."""
+        low, out, done = _low(text), [], 0
+        for m in _START.finditer(low):
+            if m.start() < done:
+                continue
+            node, word, at, hit = self.root, m[1], m.start(), None
+            while node is not None:
+                if node[1]:
+                    hit = self._ended(node[1], word, at) or hit
+                node = node[0].get(word)
+                if node is not None and (n := _NEXT.match(low, at + len(word))):
+                    word, at = n[1], n.start(1)
+                else:
+                    node = None
+            if hit:
+                done = hit[0]
+                out.append((m.start(), *hit))
+        return out
+
+    @staticmethod
+    def _ended(ends: dict, word: str, at: int) -> tuple[int, str] | None:
+        if word in ends:
+            return at + len(word), ends[word]
+        for k in range(len(word) - 1, 0, -1):
+            if not word[k].isalnum() and word[:k] in ends:
+                return at + k, ends[word[:k]]
+        return None
+
+    def replace(self, text: str) -> str:
+        out, done = [], 0
+        for a, b, mark in self.find(text):
+            out += [text[done:a], mark]
+            done = b
+        return "".join([*out, text[done:]])
+
+
+def _restore(text: str, known: dict[str, str]) -> str:
+    def back(m: re.Match) -> str:
+        s = m[0]
+        for k in range(len(s), 6, -1):
+            if s[:k] in known:
+                return known[s[:k]] + _restore(s[k:], known)
+        return s[:7] + _restore(s[7:], known)
+
+    return _MARK.sub(back, text)
+
+
+def _per_text(spark: SparkSession, phrases: list[tuple[str, str]], make, kind: str):
+    """A function on texts made once per task by make(phrases); null counts as an empty text."""
+    shared = spark.sparkContext.broadcast(phrases)
+
+    @F.pandas_udf(kind)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = make(shared.value)
+        for s in texts:
+            yield s.map(lambda t: f("" if t is None else t))
+
+    return run
+
+
+def substitution(spark: SparkSession, phrases: list[tuple[str, str]]):
+    """text -> text with the phrases replaced by their placeholders."""
+    return _per_text(spark, phrases, lambda p: Phrases(p).replace, "string")
+
+
+def restoration(spark: SparkSession, phrases: list[tuple[str, str]]):
+    """text -> text with the placeholders replaced by their phrases."""
+
+    def make(p):
+        known = {mark: text for text, mark in p}
+        return lambda t: _restore(t, known)
+
+    return _per_text(spark, phrases, make, "string")
+
+
+def substituted(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, text with phrases (longest first) replaced by their placeholders, whatever their case."""
+    return docs.select("doc_id", substitution(docs.sparkSession, phrases)(F.col("text")).alias("text"))
 
 
 def restored(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
-    t = F.col("text")
-    for text, mark in sorted(phrases, key=lambda p: -len(p[1])):
-        t = F.replace(t, F.lit(mark), F.lit(text))
-    return docs.select("doc_id", t.alias("text"))
+    return docs.select("doc_id", restoration(docs.sparkSession, phrases)(F.col("text")).alias("text"))
+
+
+def distinct_marks(phrases: DataFrame) -> list[tuple[str, str]]:
+    """(text, placeholder) of phrases that differ in more than case; placeholders that several share are numbered."""
+    rows = sorted((r.text, r.placeholder) for r in phrases.select("text", "placeholder").collect())
+    keys: dict[str, tuple[str, str]] = {}
+    for text, mark in rows:
+        keys.setdefault(" ".join(_low(text).split()), (text, mark))
+    taken, out = {mark for _, mark in rows}, []
+    first: set[str] = set()
+    for text, mark in keys.values():
+        name, k = mark, 2
+        while name in first or (name != mark and name in taken):
+            name, k = f"{mark}_{k}", k + 1
+        first.add(name)
+        out.append((text, name))
+    return out
+
+
+def round_trip(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, touched (something was substituted), restored (the text came back, up to case and spacing)."""
+    spark, t = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    done = docs.select("doc_id", t.alias("t"), substitution(spark, phrases)(t).alias("done"))
+    back = done.select("doc_id", "t", "done", restoration(spark, phrases)("done").alias("back"))
+    return back.select("doc_id", (F.col("done") != F.col("t")).alias("touched"), (plain(F.col("t")) == plain(F.col("back"))).alias("restored"))
+
+
+def phrase_usage(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """placeholder, uses, docs: occurrences of the phrases (text, placeholder) in one pass over each text, longest phrase first."""
+    listed = [(r.text, r.placeholder) for r in sorted(phrases.select("text", "placeholder").collect())]
+    marks = _per_text(docs.sparkSession, listed, lambda p: (lambda index: lambda t: [m for _, _, m in index.find(t)])(Phrases(p)), "array<string>")
+    found = docs.select("doc_id", F.explode(marks("text")).alias("placeholder"))
+    return found.groupBy("placeholder").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.catalog import query
-from lexmill.cluster import keep
 from lexmill.operators import curation as cu
 from lexmill.plans.common import candidates_of, docs_of
 
@@ -112,9 +111,8 @@ def boost_corpus(spark: SparkSession, d: str) -> DataFrame:
     return cu.boost_corpus(cu.forced_phrases(candidates_of(spark, d), _CLASSES))
 
 
-def _phrase_list(spark: SparkSession, d: str) -> list[tuple[str, str]]:
-    rows = cu.forced_phrases(candidates_of(spark, d), _CLASSES, 20).collect()
-    return [(r.text, r.placeholder) for r in sorted(rows, key=lambda r: (-len(r.text), -r.freq, r.text))]
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return cu.round_trip(docs_of(spark, d), cu.distinct_marks(cu.forced_phrases(candidates_of(spark, d), _CLASSES)))
 
 
 @query("phrase_usage")
@@ -125,11 +123,11 @@ def phrase_usage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("phrase_round_trip", "SELECT count(*) AS docs, count(*) AS restored FROM documents")
 def phrase_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text comes back from substitution and restoration, up to case and spacing of the phrases."""
-    phrases = _phrase_list(spark, d)
-    docs = docs_of(spark, d)
-    done = keep(cu.substituted(docs, phrases), "phrases")
-    back = cu.restored(done, phrases).withColumnRenamed("text", "back")
-    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    joined = docs.join(back, "doc_id")
-    return joined.agg(F.count("*").alias("docs"), F.count_if(plain(F.col("text")) == plain(F.col("back"))).alias("restored"))
+    """Documents whose text comes back from substitution and restoration of all forced phrases, up to case and spacing of the phrases."""
+    return _round_trip(spark, d).agg(F.count("*").alias("docs"), F.count_if("restored").alias("restored"))
+
+
+@query("phrase_round_trip_touched")
+def phrase_round_trip_touched(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which a forced phrase is substituted, and how many of these come back; tested on small tables."""
+    return _round_trip(spark, d).agg(F.count("*").alias("docs"), F.count_if("touched").alias("touched"), F.count_if(F.col("touched") & F.col("restored")).alias("touched_restored"))

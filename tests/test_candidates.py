@@ -31,3 +31,27 @@ def test_raw_records_are_candidates(spark, tmp_path):
     assert run("candidate_merge").count() == 3
     assert [(r.text, r.freq) for r in run("forced_phrases").orderBy(F.desc("freq"), "text").collect()] == [("of the", 9), ("one of", 7), ("One of", 2)]
     assert {r.placeholder: r.uses for r in run("phrase_usage").collect()}["PHRASE_ONE_OF"] == 2
+
+
+def test_round_trip_takes_the_whole_forced_list(spark, tmp_path):
+    rows = [(i, 1, [i], 1000 - i, f"filler phrase {i}", None, "keep_short_phrase", None, "a") for i in range(40)]
+    rows += [(50, 2, [1, 50], 3, "(red barn)", None, "keep_long_phrase", None, "a"), (51, 2, [1, 51], 2, "red barn", None, "keep_short_phrase", None, "a"), (52, 2, [1, 52], 1, "barn door", None, "keep_short_phrase", None, "a")]
+    docs = [(1, "A Red  barn (red barn), red barn_x; barn door."), (2, "redbarn only"), (3, None), (4, "see filler\nphrase 39!")]
+    d = _tables(spark, tmp_path, rows, docs)
+    assert tuple(QUERIES["phrase_round_trip"](spark, d).first()) == (4, 4)
+    assert tuple(QUERIES["phrase_round_trip_touched"](spark, d).first()) == (4, 2, 2)
+
+
+def test_found_phrases_equal_the_pattern():
+    import random
+    import re
+
+    from lexmill.operators.curation import Phrases
+
+    rnd = random.Random(3)
+    listed = ["a b", "a b c", "(a", "b", "c's d", "a.b c", "é d", "d-a"]
+    either = "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(listed, key=lambda t: (-len(t), t)))
+    pattern = re.compile(rf"(?i)(?<![^\W_])(?:{either})(?![^\W_])")
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", "b", "c", "d", "É", "'s", " ", " ", "\n", ".", "(", "-", "_", "A"]) for _ in range(14))
+        assert [(a, b) for a, b, _ in Phrases([(t, t) for t in listed]).find(text)] == [m.span() for m in pattern.finditer(text)], text
