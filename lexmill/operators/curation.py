@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.functions.text import WHITESPACE, collapse_space
+from lexmill.functions.text import LINE_BREAK, WHITESPACE, collapse_space, strip_space
 
 # Word lists, prefixes and suffixes of the classification and scoring rules.
 BAD_SUBSTRINGS = ["�", "://", "www.", "http", "•"]
@@ -43,6 +43,10 @@ BAD_STARTS = ["ther", "omething", "ross", "umber", "ording", "lread", "owe", "ec
 BAD_ENDS = ["ments", "olog", "ever", "read", "ross", "meric", "ticle", "lieve", "selv"]
 TAILS = ["ment", "tion", "ness", "able", "less"]
 
+#: Classes of boosted terms, and those of which only well scored subwords are boosted.
+BOOST_CLASSES = ["keep_full_word", "keep_contraction", "keep_allowlist", "keep_phrase", "keep_short_phrase"]
+BOOST_SUBWORDS = ["keep_subword", "curated_subword_auto_v2"]
+
 _WORD = r"[A-Za-z]+(?:[’'][A-Za-z]+)?"
 
 #: The fields of a candidate, which come as columns or in the raw JSON of `record`.
@@ -220,18 +224,37 @@ def placeholder(text: Column) -> Column:
     return F.concat(F.lit("PHRASE_"), F.regexp_replace(F.regexp_replace(F.upper(text), "[^A-Z0-9]+", "_"), "^_+|_+$", ""))
 
 
-def forced_phrases(candidates: DataFrame, classes: list[str], most: int = 300) -> DataFrame:
-    """The most frequent clean phrases once each: text, placeholder, freq, class."""
+def forced_phrases(candidates: DataFrame, classes: list[str]) -> DataFrame:
+    """The clean phrases once each: text, placeholder, freq, class."""
     t = collapse_space(F.col("text"))
     rows = candidates.where(F.col("class").isin(classes) & F.col("text").isNotNull()).select(t.alias("text"), F.coalesce("freq", F.lit(0)).alias("freq"), "class").where("length(text) >= 4")
     order = Window.partitionBy("text").orderBy(F.desc("freq"), "class")
     once = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-    return once.orderBy(F.desc("freq"), "text").limit(most).select("text", placeholder(F.col("text")).alias("placeholder"), "freq", "class")
+    return once.select("text", placeholder(F.col("text")).alias("placeholder"), "freq", "class")
+
+
+def boost_terms(candidates: DataFrame, most: int = 300) -> DataFrame:
+    """text, freq, class of the most frequent terms of BOOST_CLASSES once each; subwords only where their score is 10 or more."""
+    t = strip_space(F.col("text"))
+    rows = candidates.where(F.col("class").isin(BOOST_CLASSES + BOOST_SUBWORDS)).select("cand_id", t.alias("text"), F.coalesce("freq", F.lit(0)).alias("freq"), "class")
+    clean = rows.where("length(text) >= 2 and not contains(text, '  ') and (length(text) >= 4 or contains(text, ' '))")
+    words_ = clean.where(F.col("class").isin(BOOST_CLASSES))
+    subwords = clean.where(F.col("class").isin(BOOST_SUBWORDS)).where(subword_score(normalized(F.col("text")))[0] >= 10)
+    order = Window.partitionBy("text").orderBy(F.desc("freq"), "cand_id")
+    once = words_.unionByName(subwords).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return once.orderBy(F.desc("freq"), "cand_id").limit(most).select("text", "freq", "class")
+
+
+def boost_corpus(terms: DataFrame, phrases: list[tuple[str, str]], times: int = 80) -> DataFrame:
+    """Each term, with the phrases in it substituted, as often as it is boosted: one line per copy."""
+    done = terms.select(substitution(terms.sparkSession, phrases)("text").alias("text"))
+    return done.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
 
 
-def boost_corpus(phrases: DataFrame, times: int = 80) -> DataFrame:
-    """Each phrase as often as it is boosted: one line per copy."""
-    return phrases.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
+def training_corpus(docs: DataFrame, terms: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+    """The lines to train on: the boosted terms and all lines of the documents, with the phrases substituted."""
+    lines = docs.where("text is not null").select(F.explode(F.split("text", LINE_BREAK)).alias("line"))
+    return boost_corpus(terms, phrases).select("text").unionByName(lines.select(substitution(docs.sparkSession, phrases)("line").alias("text")))
 
 
 _SPACE = r" \t\n\x0b\f\r"

@@ -108,11 +108,25 @@ def forced_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("boost_corpus", f"SELECT text, unnest(range(1, 81))::INT AS copy FROM ({_FORCED})")
 def boost_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return cu.boost_corpus(cu.forced_phrases(candidates_of(spark, d), _CLASSES))
+    return cu.boost_corpus(cu.boost_terms(candidates_of(spark, d)), _marks(spark, d))
+
+
+@query("boost_terms")
+def boost_terms(spark: SparkSession, d: str) -> DataFrame:
+    return cu.boost_terms(candidates_of(spark, d))
+
+
+@query("training_corpus")
+def training_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return cu.training_corpus(docs_of(spark, d), cu.boost_terms(candidates_of(spark, d)), _marks(spark, d))
+
+
+def _marks(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    return cu.distinct_marks(cu.forced_phrases(candidates_of(spark, d), _CLASSES))
 
 
 def _round_trip(spark: SparkSession, d: str) -> DataFrame:
-    return cu.round_trip(docs_of(spark, d), cu.distinct_marks(cu.forced_phrases(candidates_of(spark, d), _CLASSES)))
+    return cu.round_trip(docs_of(spark, d), _marks(spark, d))
 
 
 @query("phrase_usage")

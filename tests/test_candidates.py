@@ -55,3 +55,20 @@ def test_found_phrases_equal_the_pattern():
     for _ in range(3000):
         text = "".join(rnd.choice(["a", "b", "c", "d", "É", "'s", " ", " ", "\n", ".", "(", "-", "_", "A"]) for _ in range(14))
         assert [(a, b) for a, b, _ in Phrases([(t, t) for t in listed]).find(text)] == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_forced_phrases_have_no_cap_and_boost_terms_their_own(spark, tmp_path):
+    raw = lambda i, text, kind, freq: (i, None, None, None, None, None, None, f'{{"n":2,"ids":[{i}],"freq":{freq},"text":"{text}","class":"{kind}"}}', "a")
+    rows = [raw(i, f"filler phrase {i}", "keep_long_phrase", 10) for i in range(350)]
+    rows += [raw(400 + i, f"boosted{i}", "keep_full_word", 20) for i in range(320)]
+    rows += [raw(800, "different", "keep_subword", 90), raw(801, "somet", "keep_subword", 91), raw(802, "it's", "keep_contraction", 92), raw(803, "so red", "keep_short_phrase", 93), raw(804, "abc", "keep_full_word", 94), raw(805, "so red", "keep_full_word", 95)]
+    d = _tables(spark, tmp_path, rows, [(1, "Filler phrase 349\r\nand so  red."), (2, None)])
+    assert QUERIES["forced_phrases"](spark, d).count() == 351
+    assert QUERIES["phrase_usage"](spark, d).where("placeholder = 'PHRASE_FILLER_PHRASE_349'").first().uses == 1
+    terms = {r.text: r.freq for r in QUERIES["boost_terms"](spark, d).collect()}
+    assert len(terms) == 300 and terms["so red"] == 95 and {"different", "it's", "boosted0", "boosted296"} <= set(terms)
+    assert not {"somet", "abc", "boosted297", "filler phrase 1"} & set(terms)
+    corpus = QUERIES["boost_corpus"](spark, d)
+    assert corpus.count() == 300 * 80 and corpus.where("text = 'PHRASE_SO_RED'").count() == 80 and corpus.where("text = 'so red'").count() == 0
+    lines = QUERIES["training_corpus"](spark, d)
+    assert lines.count() == 300 * 80 + 2 and lines.where("text in ('PHRASE_FILLER_PHRASE_349', 'and PHRASE_SO_RED.')").count() == 2
