@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the ways in which a candidate is found.
-WEIGHTS = {"header": 5, "inner": 2, "line_start": 8}
+WEIGHTS = {"header": 5, "inner": 2, "line_start": 8, "prefix": 5, "connector": 4, "known": 6}
+#: Line beginnings that count as known connectors.
+KNOWN_CONNECTORS = ["is the", "with a", "have been", "into the", "through the", "of the", "and the"]
 MOST_CHARS = 24
 
 
@@ -21,11 +25,20 @@ def _spans(tokens: Column, least: int, most: int) -> Column:
     return F.flatten(runs)
 
 
-def line_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, delta, piece, weight: spans inside lines, line beginnings after a break, beginnings of headings."""
+def _tokenized(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", "delta", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
     tokens = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\p{L}\p{N}\s]+"), F.lit(0))
-    base = lines.select("doc_id", "delta", "line_no", "line", tokens.alias("t")).where("size(t) > 0")
+    return lines.select("doc_id", "delta", "line_no", "line", tokens.alias("t"))
+
+
+def _exploded(base: DataFrame, kinds: Column) -> DataFrame:
+    each = base.select("doc_id", "delta", F.explode(kinds).alias("k")).select("doc_id", "delta", "k.weight", F.explode("k.pieces").alias("piece"))
+    return each.select("doc_id", "delta", F.substring("piece", 1, MOST_CHARS).alias("piece"), "weight").where(F.regexp_count("piece", F.lit(r"\p{L}")) >= 3)
+
+
+def line_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, delta, piece, weight: spans inside lines, line beginnings after a break, beginnings of headings."""
+    base = _tokenized(docs).where("size(t) > 0")
     letters, upper = F.regexp_count("line", F.lit(r"\p{L}")), F.regexp_count("line", F.lit(r"\p{Lu}"))
     header = (F.char_length("line") >= 4) & (letters >= 4) & (upper >= letters * 0.55)
     starts = F.transform(F.sequence(F.lit(1), F.least(F.size("t"), F.lit(4))), lambda n: F.array_join(F.slice("t", 1, n), " "))
@@ -34,13 +47,36 @@ def line_candidates(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(WEIGHTS["line_start"]).alias("weight"), F.when(F.col("line_no") > 0, F.transform(starts, lambda s: F.concat(F.lit("\n"), s))).otherwise(F.array().cast("array<string>")).alias("pieces")),
         F.struct(F.lit(WEIGHTS["header"]).alias("weight"), F.when(header, starts).otherwise(F.array().cast("array<string>")).alias("pieces")),
     )
-    each = base.select("doc_id", "delta", F.explode(kinds).alias("k")).select("doc_id", "delta", "k.weight", F.explode("k.pieces").alias("piece"))
-    return each.select("doc_id", "delta", F.substring("piece", 1, MOST_CHARS).alias("piece"), "weight").where(F.regexp_count("piece", F.lit(r"\p{L}")) >= 3)
+    return _exploded(base, kinds)
+
+
+def all_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, delta, piece, weight: the five kinds of the reference.
+
+    Beginnings of every line, spans inside lines, words after punctuation, line beginnings after a
+    break, and known connectors that a line begins with.
+    """
+    t, none = F.col("t"), F.array().cast("array<string>")
+    base = _tokenized(docs).select("doc_id", "delta", "line_no", "t").where("size(t) > 0")
+
+    def starts(least: int, most: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(least), F.least(F.size(t), F.lit(most))), lambda n: F.array_join(F.slice(t, 1, n), " "))
+        return F.when(F.size(t) >= least, runs).otherwise(none)
+
+    word = r"[\p{L}\p{N}'’-]+"
+    kinds = {
+        "prefix": starts(1, 5),
+        "inner": _spans(t, 2, 4),
+        "connector": F.regexp_extract_all(F.array_join(t, " "), F.lit(rf"[,:;] \p{{L}}{word}(?: {word}){{0,2}}"), F.lit(0)),
+        "line_start": F.when(F.col("line_no") > 0, F.transform(starts(1, 4), lambda s: F.concat(F.lit("\n"), s))).otherwise(none),
+        "known": F.filter(starts(2, 4), lambda s: s.isin(KNOWN_CONNECTORS)),
+    }
+    return _exploded(base, F.array(*(F.struct(F.lit(WEIGHTS[k]).alias("weight"), v.alias("pieces")) for k, v in kinds.items())))
 
 
-def scored_candidates(docs: DataFrame, vocab: DataFrame, least_docs: int = 3) -> DataFrame:
+def scored_candidates(docs: DataFrame, vocab: DataFrame, least_docs: int = 3, candidates: Callable[[DataFrame], DataFrame] = line_candidates) -> DataFrame:
     """piece, raw_count, doc_hits, est_savings, weighted_score of candidates that the vocabulary lacks."""
-    rows = line_candidates(docs).withColumn("w", F.col("weight") * doc_weight(F.col("delta")))
+    rows = candidates(docs).withColumn("w", F.col("weight") * doc_weight(F.col("delta")))
     one = rows.groupBy("piece").agg(F.sum("w").cast("bigint").alias("raw_count"), F.count_distinct("doc_id").alias("doc_hits")).where(F.col("doc_hits") >= least_docs)
     new = one.join(vocab.select("piece"), "piece", "left_anti")
     saved = F.greatest(F.lit(1), F.floor(F.col("raw_count") * F.greatest(F.char_length("piece") - 1, F.lit(1)) / 10))

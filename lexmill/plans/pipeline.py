@@ -149,7 +149,7 @@ def worst_doc_candidates(spark: SparkSession, d: str) -> DataFrame:
     vocab = table(spark, d, "vocab")
     counts_ = greedy_counts(docs, vocab)
     worst = counts_.withColumn("delta", F.col("fallback_tokens")).where("delta > 0").orderBy(F.desc("delta"), "doc_id").limit(300).select("doc_id", "delta")
-    return refine.scored_candidates(keep(docs.join(F.broadcast(worst), "doc_id").select("doc_id", "text", "delta"), "worst"), vocab)
+    return refine.scored_candidates(keep(docs.join(F.broadcast(worst), "doc_id").select("doc_id", "text", "delta"), "worst"), vocab, candidates=refine.all_candidates)
 
 
 @query("removal_candidates", r"SELECT id, piece, (100 - 4 * length(piece) - coalesce(priority, 0) / 1000)::DOUBLE AS score FROM vocab WHERE NOT regexp_matches(piece, '^<0x[0-9A-Fa-f]{2}>$') AND NOT contains(piece, chr(10)) AND length(piece) > 2 AND NOT coalesce(pinned, false) AND NOT regexp_matches(trim(piece), '^[\p{L}]{1,4}$')")
