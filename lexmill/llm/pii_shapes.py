@@ -156,7 +156,7 @@ def mentions(text: str, given: frozenset[str], family: frozenset[str], common: f
     emails = {a for a, _ in taken}
     for a, b, n_digits in _numbers(text):
         near = text[a:b].lower()
-        if n_digits >= 5 and any(k in near for k in _LABEL_KEYS):
+        if n_digits >= 3 and any(k in near for k in _LABEL_KEYS):
             for m in _LABELLED.finditer(text, a, b):
                 if "\n" in m["v"] and sum(c.isdigit() for c in m["v"]) < 8:
                     continue  # a short number at a line's end and the number of the next line
