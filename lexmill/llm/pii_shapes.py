@@ -19,6 +19,7 @@ _SPELLED_KEYS = ("dot", "[at]", "(at)", "{at}")
 _LABEL_KEYS = ("ssn", "sec.", "secur", "insur", "segur", "sécu", "tax", "tin", "passport", "pasap", "passep", "steuer", "ausweis", "reisepass", "passn", "pass-n", "sozial", "renten", "dni", "nif", "nie", "nir", "nino", "ni n", "ni\nn", "ni  n", "identi", "licen", "fiscal", "id ")
 _STREET_KEYS = ("street", "st", "lane", "ln", "ave", "road", "rd", "court", "ct", "drive", "close", "crescent", "terrace", "blvd", "boul", "gardens", "grove", "mews", "parade", "square", "place", "way", "box", "postfach", "apartado", "apdo", "postale", "bp", "b.p", "straße", "str.", "gasse", "weg", "platz", "allee", "ring", "damm", "am ", "im ", "der ", "den ", "zum ", "zur ", "dem ", "am\n", "calle", "c/", "avda", "av.", "plaza", "paseo", "pº", "camino", "carretera", "ronda", "traves", "rue", "impasse", "chemin", "allée", "quai", "route", "cours", "sentier", "passage")
 _DIGITS = re.compile(r"\d+")
+_BLANK = re.compile(r"\s")
 #: Characters around a number in which its label or street may stand; numbers nearer than NEAR go together.
 _AROUND, _NEAR = 72, 24
 
@@ -121,16 +122,25 @@ def _contexts(text: str, start: int, stop: int, emails: set[int]) -> list[str]:
 
 
 def _numbers(text: str) -> list[tuple[int, int, int]]:
-    """Stretches around numbers that stand near one another: start, stop, digits."""
+    """Stretches around numbers: start, stop, most digits of numbers that stand near one another.
+
+    A stretch ends at whitespace, and stretches that meet are one, so that none ends inside a
+    number or word and a pattern searched up to the end sees whole shapes.
+    """
     out: list[list[int]] = []
+    near = last = 0
     for m in _DIGITS.finditer(text):
         a, b = m.span()
-        if out and a - out[-1][1] < _NEAR:
-            out[-1][1] = b
-            out[-1][2] += b - a
-        else:
-            out.append([a, b, b - a])
-    return [(max(0, a - _AROUND), min(len(text), b + _AROUND), n) for a, b, n in out]
+        near = near + b - a if out and a - last < _NEAR else b - a
+        last = b
+        joined = bool(out) and a - _AROUND <= out[-1][1]
+        if not joined:
+            out.append([max(0, a - _AROUND), 0, 0])
+        if b + _AROUND > out[-1][1]:
+            end = _BLANK.search(text, b + _AROUND)
+            out[-1][1] = end.start() if end else len(text)
+        out[-1][2] = max(out[-1][2], near)
+    return [(a, b, n) for a, b, n in out]
 
 
 def mentions(text: str, given: frozenset[str], family: frozenset[str], common: frozenset[str]) -> list[Mention]:
