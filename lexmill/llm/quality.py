@@ -114,12 +114,20 @@ def weak_label() -> Column:
     return label
 
 
-def train(statistics: DataFrame) -> boosted.Model | None:
-    """Trees fitted to at most SAMPLE_ROWS documents of each weak class, calibrated on HOLDOUT."""
+def _sampled(statistics: DataFrame) -> dict[str, list]:
+    """At most SAMPLE_ROWS documents of each weak class."""
     labelled = statistics.where("not blank").select(weak_label().alias("label"), F.xxhash64("doc_id", *FEATURES).alias("h"), *(F.col(f).cast("double").alias(f) for f in FEATURES))
-    names = ["prose", *rules()]
     # each class by its own bounded top-k, so that no class passes through one task whole
-    rows = [(n != "prose", r) for n in names for r in labelled.where(F.col("label") == n).orderBy("h").select(*FEATURES).limit(SAMPLE_ROWS).collect()]
+    return {n: labelled.where(F.col("label") == n).orderBy("h").select(*FEATURES).limit(SAMPLE_ROWS).collect() for n in ["prose", *rules()]}
+
+
+def train(statistics: DataFrame) -> boosted.Model | None:
+    """Trees fitted to at most SAMPLE_ROWS documents of each weak class, calibrated on HOLDOUT."""
+    return _fitted(_sampled(statistics))
+
+
+def _fitted(sample: dict[str, list]) -> boosted.Model | None:
+    rows = [(n != "prose", r) for n, some in sample.items() for r in some]
     y = np.array([float(structural) for structural, _ in rows])
     if min(y.sum(), len(y) - y.sum()) < LEAST_ROWS:
         return None
@@ -129,17 +137,28 @@ def train(statistics: DataFrame) -> boosted.Model | None:
     return boosted.calibrated(model, np.array([h[1:] for h in HOLDOUT], dtype=float), np.array([h[0] for h in HOLDOUT], dtype=float))
 
 
-def scored_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """Statistics of every document with p_structural, the calibrated probability of structure."""
+def too_rare(sample: dict[str, list]) -> Column:
+    """Whether the loose rule of a kind holds that has too few documents for a model to have seen it."""
+    return _any({n: flag for n, flag in rules(**LOOSER).items() if len(sample[n]) < LEAST_ROWS})
+
+
+def _scored(docs: DataFrame, common: DataFrame) -> tuple[DataFrame, Column]:
     statistics = keep(prose_statistics(docs, common_word_list(common)), "statistics")
-    model = train(statistics)
+    sample = _sampled(statistics)
+    model = _fitted(sample)
     p = F.lit(None).cast("double") if model is None else F.when(~F.col("blank"), model.probability()).otherwise(F.lit(0.0))
-    return statistics.withColumn("p_structural", p)
+    return statistics.withColumn("p_structural", p), too_rare(sample)
+
+
+def scored_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """Statistics of every document with p_structural, the calibrated probability of structure."""
+    return _scored(docs, common)[0]
 
 
 def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
     """The documents that are structure by the exact definition, with what of it holds."""
-    passed = scored_documents(docs, common).where((F.col("p_structural") >= GATE) | F.col("p_structural").isNull())
+    scored, unseen = _scored(docs, common)
+    passed = scored.where((F.col("p_structural") >= GATE) | F.col("p_structural").isNull() | unseen)
     return passed.withColumns({f"is_{k}": v for k, v in rules().items()}).where(_any(rules()))
 
 
