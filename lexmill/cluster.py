@@ -19,14 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting: number of partitions the documents are spread over after reading; unset, they are read as they lie.
+SPREAD = "spark.lexmill.documents.partitions"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over the cores where their files make fewer parts than there are cores.
+    """The documents as their files are split, or spread over as many partitions as SPREAD says.
 
-    Work on texts is heavy per row; a corpus of any size has parts enough and is read as it is.
+    The setting is for files of one row group each, which Spark cannot split; it costs a shuffle of
+    the texts and depends on nothing but the setting.
     """
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    docs, spread = table(spark, sf_dir, "documents"), spark.conf.get(SPREAD, None)
+    return docs.repartition(int(spread)) if spread else docs
 
 
 def ship(spark: SparkSession) -> None:
