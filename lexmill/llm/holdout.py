@@ -1,84 +1,81 @@
-"""Documents read by eye: (1 structure or 0 prose, then the statistics in the order of quality.FEATURES)."""
+"""Documents of the sf0.1 table read by eye, half of them near a bound of the definition on either side.
+
+A row: 1 structure or junk, 0 prose; doc_id; the statistics of the whole text in the order of
+quality.FEATURES; how the text begins (line ends shown as a bar). Labelled by reading alone: hard-wrapped
+prose and prose with one overlong word are 0 though the loose bounds take them for structure, and
+German text whose letters were decoded wrongly is 1 though the exact bounds mostly let it pass.
+"""
 
 HOLDOUT: list[tuple] = [
-    (1, 0.1771, 67.24, 0, 0, 4.551, 49, 25, 12.76, 0.2041, 0.898, 0.2099),
-    (1, 0.1516, 64.81, 0, 0, 3.73, 63, 21, 15.19, 0.2624, 0.9683, 0.1924),
-    (1, 0, 0, 0, 0, 6.36, 111, 1, 816, 0, 1, 0.1348),
-    (1, 0.1333, 53.5, 0, 0, 6.5, 48, 16, 26.5, 0, 0.8958, 0.18),
-    (1, 0.2118, 49.68, 0, 0, 4.465, 155, 31, 30.32, 0.4969, 0.9419, 0.09485),
-    (1, 0.08125, 0, 0, 0, 11.76, 25, 1, 320, 0.3531, 1, 0),
-    (1, 0.5254, 0, 0, 0, 5.6, 5, 1, 86, 0, 1, 0.314),
-    (1, 0.04545, 54.48, 0, 0.2842, 5.968, 95, 27, 25.52, 0, 0.7053, 0.1692),
-    (1, 0, 0, 0, 0, 6.5, 162, 1, 1214, 0, 1, 0.1326),
-    (1, 0.2867, 0, 0, 0, 4.917, 84, 1, 745, 0, 0.3571, 0.2228),
-    (1, 0.09706, 62.35, 0, 0.5, 4.652, 66, 23, 17.65, 0, 0.4242, 0.2056),
-    (1, 0.06422, 64.62, 0, 0, 4.636, 22, 8, 15.38, 0.05385, 1, 0.1615),
-    (1, 0.8841, 0, 0, 0.3585, 1.057, 53, 1, 558, 0.02509, 0.09434, 0.1344),
-    (1, 0.4937, 0, 0, 0, 5.714, 7, 1, 114, 0, 1, 0.307),
-    (1, 0.03333, 66.2, 0, 0.5, 4.143, 14, 5, 13.8, 0, 0.6429, 0.1781),
-    (1, 0, 23, 0, 0.01872, 2.353, 374, 22, 57, 0.4643, 0.5642, 0.3098),
-    (1, 0, 23, 0, 0, 2.353, 136, 8, 57, 0.4773, 0.7721, 0.3089),
-    (1, 0, 0, 0, 0, 6.757, 74, 1, 573, 0, 1, 0.1274),
-    (1, 0.1042, 65.5, 0, 0.5, 4.3, 30, 12, 14.5, 0, 0.5667, 0.2216),
-    (1, 0, 67, 0, 0, 6, 40, 20, 13, 0, 0.875, 0.1398),
-    (1, 0, 0, 0, 0, 6.269, 156, 1, 1133, 0, 1, 0.1368),
-    (1, 0.2543, 46, 0, 0, 3.265, 132, 17, 34, 0.6717, 0.6288, 0.02694),
-    (1, 0.2571, 45, 0, 0, 3.25, 208, 26, 35, 0.6952, 0.625, 0.02674),
-    (1, 0.1056, 64.36, 0, 0.5, 4.233, 60, 22, 15.64, 0, 0.4167, 0.2219),
-    (1, 0.1241, 4.947, 0, 0.02604, 5.771, 192, 19, 75.05, 0.1385, 0.6562, 0.124),
-    (1, 0, 0, 0, 0, 5.945, 128, 1, 888, 0, 1, 0.143),
-    (1, 0.2468, 48.4, 0, 0, 3.306, 36, 5, 31.6, 0.6111, 0.7222, 0.02469),
-    (1, 0, 23, 0, 0, 2.353, 119, 7, 57, 0.4889, 0.8403, 0.3086),
-    (1, 0.311, 35.65, 0, 0, 3.264, 148, 20, 44.35, 0.4956, 0.6351, 0.2263),
-    (1, 0.1934, 57.91, 0, 0.08929, 3.5, 56, 11, 22.09, 0.1542, 0.8036, 0.03953),
-    (1, 0.9064, 0, 0, 0.3182, 1.136, 22, 1, 308, 0.03247, 0.2273, 0.1331),
-    (1, 0.1003, 64.23, 0, 0.5, 4.483, 58, 22, 15.77, 0, 0.4138, 0.2147),
-    (1, 0.08517, 61.45, 0, 0.3649, 3.919, 74, 20, 18.55, 0.07436, 0.5541, 0.1872),
-    (1, 0, 23, 0, 0.006536, 2.353, 306, 18, 57, 0.4803, 0.6242, 0.3097),
-    (1, 0.2058, 50.19, 0, 0, 4.551, 78, 16, 29.81, 0.4817, 0.9615, 0.09146),
-    (1, 0.07292, 64.29, 0, 0, 6.357, 14, 7, 15.71, 0, 1, 0.1724),
-    (1, 0.1866, 57.16, 0, 0.08247, 3.639, 97, 19, 22.84, 0.1659, 0.7423, 0.03982),
-    (1, 0.142, 54.88, 0, 0, 6.042, 48, 16, 25.12, 0, 0.9583, 0.1894),
-    (1, 0, 23, 0, 0.007353, 2.353, 272, 16, 57, 0.4649, 0.6801, 0.3096),
-    (1, 0.1272, 51.33, 0, 0.0137, 6.205, 73, 21, 28.67, 0.03376, 0.9315, 0.1656),
-    (1, 0.1786, 56.59, 0, 0.09259, 3.917, 108, 22, 23.41, 0.1604, 0.6667, 0.03918),
-    (1, 0.1667, 66.76, 0, 0, 4.706, 34, 17, 13.24, 0.1701, 1, 0.2033),
-    (1, 0, 57.29, 0, 0.2857, 5.776, 49, 14, 22.71, 0, 0.8571, 0.1797),
-    (1, 0.075, 64.67, 0, 0, 6.167, 12, 6, 15.33, 0, 1, 0.1753),
-    (0, 0.02507, 0, 1, 0.4231, 4.487, 156, 4, 217.5, 0, 0.4359, 0.1804),
-    (0, 0.02242, 0, 1, 0.4065, 5.317, 123, 3, 263, 0.01892, 0.748, 0.1564),
-    (0, 0.03542, 0, 1, 0.4304, 4.481, 79, 1, 440, 0.03864, 0.6582, 0.1659),
-    (0, 0.0235, 0, 1, 0.4096, 5.506, 83, 2, 274.5, 0, 0.7952, 0.1506),
-    (0, 0.02079, 0, 1, 0.4301, 4.559, 93, 3, 174.3, 0, 0.5699, 0.1784),
-    (0, 0.02212, 0, 1, 0.408, 5.304, 125, 3, 266.7, 0, 0.752, 0.1567),
-    (0, 0.0257, 0, 1, 0.4474, 5.487, 76, 2, 251, 0.003968, 0.7763, 0.1508),
-    (0, 0.03213, 31.5, 0.3333, 0.4375, 5.021, 48, 6, 48.5, 0.006734, 0.8542, 0.1616),
-    (0, 0.02601, 0, 1, 0.4459, 4.554, 74, 2, 208.5, 0, 0.6081, 0.1742),
-    (0, 0.02697, 0, 1, 0.4444, 5.211, 90, 1, 571, 0, 0.8, 0.1559),
-    (0, 0.02041, 0, 1, 0.4074, 5.333, 27, 1, 173, 0, 0.963, 0.1503),
-    (0, 0.02074, 0, 1, 0.4599, 4.825, 137, 1, 811, 0, 0.3504, 0.1677),
-    (0, 0.04545, 0, 1, 0.3472, 5.25, 72, 1, 460, 0.02391, 0.9167, 0.1391),
-    (0, 0.02797, 0, 1, 0.4717, 5.245, 106, 3, 225, 0, 0.7453, 0.1576),
-    (0, 0.02837, 0, 1, 0.4078, 5.32, 103, 3, 221, 0.01504, 0.8058, 0.1519),
-    (0, 0.01708, 0, 0.6667, 0.4194, 5.57, 93, 3, 205.7, 0, 0.7634, 0.1514),
-    (0, 0.02204, 0, 1, 0.4105, 5.137, 95, 1, 593, 0, 0.8211, 0.1585),
-    (0, 0.02414, 0, 1, 0.4151, 5.34, 53, 1, 342, 0.005848, 0.8868, 0.152),
-    (0, 0.02662, 0, 1, 0.4545, 5.318, 110, 3, 236, 0, 0.7091, 0.1559),
-    (0, 0.01767, 0, 1, 0.4488, 5.252, 127, 3, 267.7, 0, 0.7244, 0.1586),
-    (0, 0.02056, 0, 1, 0.4901, 4.417, 151, 1, 831, 0, 0.4702, 0.1805),
-    (0, 0.01711, 0, 1, 0.3803, 5.662, 71, 1, 479, 0, 0.8028, 0.1461),
-    (0, 0.02954, 0, 1, 0.3908, 5.287, 87, 1, 558, 0.01971, 0.7701, 0.1505),
-    (0, 0.01996, 0, 1, 0.4872, 4.615, 117, 2, 333, 0, 0.5641, 0.1739),
-    (0, 0.02222, 0, 1, 0.425, 4.4, 40, 1, 219, 0, 0.7, 0.1781),
-    (0, 0.02131, 0, 1, 0.4621, 4.434, 145, 2, 400, 0, 0.4483, 0.1808),
-    (0, 0.02262, 0, 1, 0.4737, 4.547, 95, 1, 535, 0, 0.6, 0.1738),
-    (0, 0.03185, 0, 0.5, 0.431, 5.241, 58, 2, 185, 0, 0.8276, 0.1559),
-    (0, 0.02778, 0, 1, 0.3937, 5.236, 127, 2, 404.5, 0.002469, 0.7323, 0.1556),
-    (0, 0.02932, 0, 1, 0.4545, 4.399, 143, 3, 262, 0.01013, 0.5245, 0.1797),
-    (0, 0.02235, 0, 1, 0.3438, 5.469, 64, 2, 210, 0.009479, 0.8906, 0.1517),
-    (0, 0.02265, 17.5, 0.1667, 0.4444, 4.194, 72, 6, 62.5, 0, 0.5417, 0.1868),
-    (0, 0.02756, 0, 1, 0.4423, 4.75, 52, 2, 152, 0, 0.6538, 0.1672),
-    (0, 0.0302, 0, 1, 0.4545, 5.255, 55, 1, 352, 0, 0.8727, 0.1534),
-    (0, 0.02689, 0, 1, 0.4144, 5.216, 111, 3, 234.3, 0.01697, 0.8108, 0.1584),
-    (0, 0.0233, 0, 1, 0.4231, 5.24, 104, 3, 219.7, 0.001513, 0.75, 0.1558),
+    (1, 256, (0.5254, 0, 0, 0, 5.6, 5, 1, 86, 0.314), '✨ ★ → salted %% ✨ ★ 🔥 @@ @@ 🔥 @@ → ★ → ✔ 🔥 🔥 curious → soup hostel dense'),
+    (1, 26993, (0.1737, 59, 0, 0.01266, 3.734, 79, 17, 21, 0.0429), 'nr,piece,freq,class | 1,lem,89775,drop | 2,tuk,242609,keep_phrase | 3,ve'),
+    (1, 1505, (0.2468, 48.4, 0, 0, 3.306, 36, 5, 31.6, 0.02469), 'nr;piece;freq;class | v078;0.521563;1.2786;904717;-0.704% | v034;0.59327'),
+    (1, 26407, (0.2921, 0, 0, 0, 4.773, 66, 1, 575, 0.2261), 'Bright :: Login :: Home :: Chimney :: RSS :: Home :: Login :: Home :: Lo'),
+    (1, 9720, (0.1972, 57.58, 0, 0.1188, 3.386, 101, 19, 22.42, 0.04054), 'radiator|frozen|48.85|yes | cable|partial|38.61|no | tractor|rural|25.22'),
+    (1, 25130, (0.1981, 0, 1, 0.1184, 2.849, 152, 1, 602, 0.103), 'DeÃ« BaÃ®nhof iÃ¤Ã¢Ã£erbstÃ©ordnete dÃ¤Ã£Ã©KesselÃ\xadaÃ¨s GÃ®as. Ã\xadÃ«s FÃª'),
+    (0, 8133, (0.1731, 0, 0.8, 0.3667, 5.256, 90, 5, 131.6, 0.1411), 'Its library merged the printer. In the end, some sunny editor folded her'),
+    (1, 13757, (0.1778, 0, 1, 0.156, 3.055, 109, 1, 452, 0.104), 'DiÃ© Fähre verließ Ã¢asÃ\xadGÃ§triebe Ã©it die Fähre im HÃ¢rÃ¥st Ã¥Ã¤neÃ¥Ei'),
+    (1, 26692, (0.1997, 0, 1, 0.1525, 2.767, 223, 1, 969, 0.2043), 'DÃ¢r  MÃ¨rkt  bÃªschÃ¥ieb  die  KücheÃ¤voÃ\xad  neÃ¡eÃ¤an  üÃ¥Ã«rÃ¡der  Ã¡a'),
+    (1, 13854, (0.2018, 0, 0, 0, 6.214, 14, 1, 141, 0.227), 'tram 🔥 🔥 🔥 @@ → recipe @@ → ✨ ✨ 🔥 ✨ folded parade 🔥 ★ ✨ ★ ✔ bridge ✔ lem'),
+    (1, 4909, (0.04695, 54, 0.05263, 0.3043, 5.884, 69, 19, 26, 0.168), 'However, the folded router postponed every match. | • repaired the weekl'),
+    (1, 13370, (0.107, 57.82, 0, 0.2763, 3.842, 76, 17, 22.18, 0.1679), '1. el jardín | 2. la tabla | 3. la cocina, la bicicleta | 4. el modelo, '),
+    (1, 22123, (0.1074, 63.67, 0, 0.5, 4.154, 26, 9, 16.33, 0.2194), '* la gare | * le fleuve, le voisin | * le modèle, la rue | * la biblioth'),
+    (1, 19061, (0.1159, 67.86, 0, 0.5, 3.812, 16, 7, 12.14, 0.2418), '- la frase | - el barco | - la ventana | - la cocina | - la ventana | - '),
+    (1, 15237, (0.09569, 68.55, 0, 0, 4.725, 40, 20, 11.45, 0.1573), 'Forklift: 484 | Kitchen: 243 | Moth: 28 | River: 424 | Gearbox: 235 | Tr'),
+    (1, 23019, (0.05049, 56.77, 0, 0.2921, 5.494, 89, 26, 23.23, 0.1812), '* planted some bakery | * ranked his profiler | * collected the weekly c'),
+    (0, 17394, (0.02353, 28.13, 0.1842, 0.4272, 5.372, 309, 38, 51.87, 0.1555), 'Still, our patient striker balanced one modest dough beside | this token'),
+    (0, 2933, (0.03614, 30, 0.25, 0.4286, 4.571, 35, 4, 50, 0.1863), 'El jardín midió la bicicleta de ayer sin prisa, porque el taller sin nom'),
+    (0, 11626, (0.0437, 27.76, 0.2941, 0.3741, 5.353, 139, 17, 52.24, 0.1422), 'Our painted blanket barely harvested her radiator on its router | althou'),
+    (0, 12526, (0.03361, 27.29, 0.2083, 0.3929, 5.429, 196, 24, 52.71, 0.1452), 'His windy curtain outgrew our bright river behind her rusty | suitcase, '),
+    (0, 13010, (0.02187, 30.75, 0.3333, 0.46, 4.92, 100, 12, 49.25, 0.1645), 'Das Gebäude von gestern ordnete der Hafen aus Blech. Die | Treppe im Kel'),
+    (1, 10883, (0, 0, 0, 0, 6.765, 98, 1, 760, 0.1276), 'thrfmx bgzngwldth zhlgvvmxr whgwfgdkjv mmlzggrjb nfxxnvldq gmglklqw rtl '),
+    (1, 16326, (0, 0, 0, 0, 6.393, 112, 1, 938, 0.2367), 'nkzts  stjnvkbhbz  nwr  vdcwdtbtcj  mdkvrhxds  zcqqglxjl  vqxlvvvwh  vnr'),
+    (1, 17508, (0.1527, 0, 0, 0.03846, 5.301, 156, 13, 86.38, 0.1491), '| A. Abelmarsh | celestine.nethercotte@brieftaube.invalid | 1-305-555-01'),
+    (1, 18767, (0, 0, 0, 0, 2.962, 156, 1, 617, 0.2512), '407 609 515 753 347 579 390 824 438 638 720 471 584 862 88 840 832 550 1'),
+    (1, 10853, (0.08158, 0, 0, 0, 12.03, 29, 1, 380, 0), 'd9gc8H1Cj9g1BCFD01Cj47j2cgff31fCfBakC/C+DjHDHehDH7iehB3ibc/36afdfi0/7701'),
+    (1, 2198, (0.07376, 5, 0, 0.01901, 5.825, 263, 24, 75, 0.0927), 'nr\tpiece\tfreq\tclass | Ilse Grünewaldt\tb.casterline@lettres.montclair.exa'),
+    (1, 4038, (0.164, 0, 0, 0.1548, 3.155, 168, 1, 720, 0.1194), 'Das UferÃ®aus PapierÃ¢sammeÃªte dasÃ©Ergebnis miÃª Griff trotzÃ«die Ã¢tr'),
+    (1, 7359, (0.1347, 0, 1, 0.1971, 3.328, 137, 1, 606, 0.1304), 'Der KeÃ®seÃª reinigte der BahnhofÃ\xadaÃ\xadseÃ¨tÃ¢Ã§die Ã¥rüÃ¡ke im HÃ¦rÃ\xadst.'),
+    (1, 28171, (0.1498, 0, 0, 0.181, 3.235, 221, 1, 958, 0.1221), 'DaÃ¢Ã¡Ã£ahrrad erseÃ®Ã§te dÃªe Ã§traÃ¦e hinÃ«er dÃ¬r Ã®aÃªen ohne Namen,'),
+    (1, 17078, (0.1514, 0, 1, 0.1685, 3.118, 178, 1, 751, 0.1292), 'Das Ufer iÃ¦ HeÃ«bÃ¦t liÃªfertÃ¬ Ã©er KÃ©rpus trotz Ã¨ie StichÃªrobÃ¦Ã¬ '),
+    (1, 24301, (0.1552, 0, 1, 0.1801, 3.327, 211, 1, 948, 0.1234), 'Die BüchereÃ§ füÃ¨ Ã®lle öffnete Ã£iÃ® Ã©ÃªicÃ£probeÃ¦Ã©er Stadt vor das'),
+    (1, 15168, (0.06579, 0, 0, 0, 17.75, 8, 1, 152, 0), 'H6g4jFde9BDb3jh25c6Big7jh86DHj2j5kkDAGHe9b3E852hd2k+aDjbifAE59Ha0/fic15g'),
+    (1, 11140, (0.06557, 0, 0, 0, 16.29, 7, 1, 122, 0), 'Bce27a3eBEhfD3ChfC2/2ecjegc641/bgF7ab70DCikA03AC4B0He1ch+i281eHe0ghCgE5b'),
+    (1, 28600, (0.07647, 0, 0, 0, 13.08, 12, 1, 170, 0), 'h+2+f6cHe/6AjAd3AGgB/3c+AfHe8621dk/g8eAafAghAB6222C9H5c98GCFj7/0HHiE8Hf3'),
+    (1, 8089, (0.09701, 0, 0, 0, 10.08, 12, 1, 134, 0), 'B9gafh5FE64181/5i45iCHDDd+H4EC6Cb7gi+9h/hkcke79c8hBG6EDF8aa+b4+kHj70BAa9'),
+    (1, 27801, (0.06494, 0, 0, 0, 16.94, 17, 1, 308, 0), 'EBC49c3fkk71fE7+Aih740ga00h8c3eHdhh7c62b3Fi7/+ifAg+c9CBH389kCjEcAjh4F55A'),
+    (1, 13151, (0.06081, 0, 0, 0, 17.38, 16, 1, 296, 0), 'B0+6k4c0Eci8eAF22EA0ib8F444/bhAe9hF+389je76+/f06dD5GFD4dk1Fk6080hdE5i1DH'),
+    (0, 15238, (0.01416, 0, 0.8333, 0.4242, 8.788, 198, 6, 326.2, 0.1004), 'By then, another marble harvested a curious tyre with one moth twice. Th'),
+    (0, 4689, (0.01229, 0, 0.8333, 0.4085, 8.894, 235, 6, 390.8, 0.09957), 'Her partial soup neatly recorded the river over the patient normaliser. '),
+    (0, 27530, (0.01558, 0, 0, 0.3953, 8.814, 43, 1, 427, 0.09836), 'The scooter merged a piece from our breakfast. Still, the dough sorted t'),
+    (0, 24112, (0.01399, 0, 0.8, 0.42, 8.927, 150, 5, 300.6, 0.09887), 'The sample counted another phrase under the profiler. One spare budget p'),
+    (0, 8709, (0.01459, 0, 0.875, 0.4198, 8.487, 374, 8, 448.4, 0.1038), 'The dense summit pushed the narrow trigram, while every suitcase pruned '),
+    (0, 29914, (0.0254, 0, 1, 0.4304, 5.342, 79, 1, 511, 0.1526), 'As we said, that museum boiled another permanent mayor (fragile as it wa'),
+    (0, 770, (0.02897, 0, 0.3333, 0.4138, 5.201, 174, 3, 368.3, 0.1581), 'One swap followed the ratio over the weekly suffix because the split tri'),
+    (0, 28679, (0.0231, 0, 1, 0.3869, 5.286, 168, 4, 268.2, 0.1552), 'This time, the mayor followed that parish. My leaky ferry polished my pi'),
+    (0, 27731, (0.0173, 0, 1, 0.4, 5.41, 105, 1, 682, 0.1525), 'This crooked reserve repaired my leaky lattice before the batch evenly t'),
+    (0, 12041, (0.02317, 0, 1, 0.4239, 5.5, 92, 2, 304, 0.1508), 'On the whole, the annual library finished some match on my reliable grid'),
+    (0, 12267, (0.028, 0, 1, 0.4118, 5.36, 136, 3, 294.3, 0.1545), 'Our beetle finished some temporary shelf without his reliable archive. M'),
+    (0, 13913, (0.0209, 0, 1, 0.4601, 4.62, 213, 5, 242.6, 0.1769), 'La montaña urbano sustituyó el mercado para el resultado de papel, pero '),
+    (0, 11063, (0.02304, 0, 1, 0.3967, 5.23, 300, 5, 380, 0.1583), 'The printer dragged the windy parcel in my tram. In the end, that rural '),
+    (0, 12350, (0.03933, 0, 1, 0.4118, 4.421, 221, 4, 305.8, 0.1725), 'La montaña de madera sustituyó la tabla otra vez, pero la montaña revisó'),
+    (0, 21148, (0.02371, 0, 1, 0.4342, 4.605, 152, 2, 433.5, 0.1749), 'El faro de papel ordenó el taller. La biblioteca alcanzó la maestra hast'),
+    (0, 13831, (0.024, 0, 1, 0.4018, 5.446, 112, 3, 244.7, 0.1531), 'That village balanced its engine beside that dense library, because its '),
+    (0, 19422, (0.02326, 0, 1, 0.427, 5.191, 89, 2, 280, 0.1584), 'On the whole, her publisher outgrew their poster 86 times. This fragile '),
+    (0, 1319, (0.02193, 0, 1, 0.4299, 5.21, 214, 4, 337.5, 0.1593), 'Her skewed curtain sorted her charger without the sparse segmenter, befo'),
+    (0, 10344, (0.03101, 0, 0.75, 0.3741, 5.396, 139, 4, 226.8, 0.1522), '<p>The permanent farmer covered a neighbour against a stubborn chimney, '),
+    (0, 1175, (0.02208, 23.46, 0.1538, 0.4211, 5.439, 114, 13, 56.54, 0.1524), 'The sparse parish suddenly painted our window. The curious | candidate t'),
+    (0, 133, (0.0292, 16, 0.2, 0.4314, 5.216, 51, 5, 64, 0.1543), 'One gearbox twice chopped the municipal maple before the drum. “Its post'),
+    (0, 10262, (0.02016, 22.47, 0.06667, 0.4104, 5.44, 134, 15, 57.53, 0.1517), 'Her greedy flute started one noisy curtain beside the | courier. This st'),
+    (0, 24156, (0.02614, 13, 0.25, 0.3882, 5.259, 85, 8, 67, 0.1547), 'This cottage sampled one lighthouse, when another square collected the |'),
+    (0, 16874, (0.02259, 14.63, 0.2333, 0.4272, 5.32, 309, 30, 65.37, 0.1548), 'The parcel went to 65 Harrowgate Lane, Oxlinton DM3 2QX. By then, the | '),
+    (0, 14544, (0.02257, 14.44, 0.1111, 0.419, 5.564, 179, 18, 65.56, 0.1487), 'That pickled match followed their hostel without the tenant since | some'),
+    (0, 17851, (0.02266, 11.74, 0.1852, 0.4231, 5.43, 286, 27, 68.26, 0.1498), 'The segmenter delivered her remote score through their annual plank. The'),
+    (0, 18762, (0.02994, 24.29, 0.2857, 0.4286, 5.143, 63, 7, 55.71, 0.1587), 'On the whole, the curious contract covered the tidy maple, because the |'),
+    (0, 10021, (0.02073, 24.38, 0.25, 0.4179, 5.642, 67, 8, 55.62, 0.1479), 'The raincoat pruned the doctor. At first, this sparse stamp measured | h'),
+    (0, 18064, (0.02419, 25.88, 0.125, 0.4493, 5.261, 69, 8, 54.12, 0.1545), 'This time, the forklift pruned her rusty doctor between a | header? That'),
+    (0, 20741, (0.02315, 24.33, 0.3333, 0.3846, 5.41, 78, 9, 55.67, 0.1546), 'The curtain scanned another merge over this faulty notebook. My | compac'),
+    (0, 11749, (0.03516, 19.2, 0.2, 0.3878, 5.041, 49, 5, 60.8, 0.1688), 'Das Fahrrad der Stadt erwähnte der Turm neben die Wiese. Der Hafen liefe'),
+    (0, 26405, (0.01947, 22.28, 0.2778, 0.4511, 4.652, 184, 18, 57.72, 0.1733), 'Die Treppe vom Nachbarn baute das Ergebnis von nebenan hinter der | Vers'),
+    (0, 7808, (0.02387, 19.21, 0.2083, 0.4701, 4.425, 268, 24, 60.79, 0.1824), 'El faro revisó la escalera casi nunca. La montaña observó la maestra | s'),
 ]

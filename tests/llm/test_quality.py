@@ -19,10 +19,29 @@ def test_holdout_is_told_apart(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     common = spark.read.parquet("/root/testdata/sf0.1/common_words.parquet")
     model = quality.train(quality.prose_statistics(docs, quality.common_word_list(common)).cache())
-    x, y = np.array([h[1:] for h in HOLDOUT]), np.array([h[0] for h in HOLDOUT])
+    x, y = np.array([h[2] for h in HOLDOUT], dtype=float), np.array([h[0] for h in HOLDOUT])
     assert model.scale > 0
     p = 1 / (1 + np.exp(-(model.margins(x) * model.scale + model.shift)))
     assert ((p > 0.5) == (y == 1)).mean() >= 0.9
+    raw = 1 / (1 + np.exp(-model.margins(x)))
+    assert ((p - y) ** 2).mean() < 0.06 < ((raw - y) ** 2).mean()  # calibration makes the probabilities honest
+
+
+def test_statistics_against_a_plain_pass(make):
+    import re
+
+    space = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+    texts = ["a. b.\r\n\u2003c!” \t\r\r\nd\u2028e?)\x0b\nÀb1²\x85\nx", " .\n. \n!!", "one", "\n\n", "a\u3000\n\u00a0\nb...", "İstanbul ﬀ\x1c\n…'\n"]
+    got = {r.doc_id: r for r in quality.prose_statistics(make(list(enumerate(texts)), "doc_id bigint, text string"), ["one"]).collect()}
+    for i, t in enumerate(texts):
+        lines = [x for x in (re.sub(f"^[{space}]+|[{space}]+$", "", x) for x in re.split("\r\n|\r|\n", t)) if x]
+        ink = re.sub(f"[{space}]", "", t)
+        alnum = [c for c in ink if c.isalpha() or c.isnumeric()]
+        assert got[i].n_lines == len(lines) and got[i].blank == (not lines)
+        if lines:
+            assert abs(got[i].mean_line - sum(map(len, lines)) / len(lines)) < 1e-9
+            assert abs(got[i].end_share - sum(bool(re.search("[.!?…][\"'”’)\\]]*$", x)) for x in lines) / len(lines)) < 1e-9
+            assert abs(got[i].symbol_share - (len(ink) - len(alnum)) / len(ink)) < 1e-9
 
 
 def test_spark_score_equals_numpy_score(spark):
