@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from lexmill.llm import term_counts as tc
 from lexmill.llm.term_counts import marked_terms, term_counts
 
 SCHEMA = "hit_id bigint, text string, doc_id bigint, hits int"
@@ -43,3 +46,25 @@ def test_empty_table_and_very_long_text(make):
     assert marked_terms(make([], SCHEMA)).count() == 0
     long = "ab " * 50_000
     assert [(r.term, r.freq) for r in term_counts(make([(1, long, 1, 3), (2, long.upper(), 2, 4)], SCHEMA)).collect()] == [(long.strip(), 7)]
+
+
+def test_conflicting_deliveries_over_several_ranges(make, monkeypatch):
+    monkeypatch.setattr(tc, "RANGE", 2)
+    terms = ["alpha", "three", *(f"w{i}" for i in range(60))]
+    rows = [(i, t, i % 7, 1) for i, t in enumerate(terms)] + [(i, terms[(i + 1) % len(terms)], i % 5, 2) for i in range(0, 62, 3)]
+    got = {r.term: (r.freq, r.doc_freq) for r in term_counts(make(rows, SCHEMA)).collect()}
+    assert set(got) == set(terms) and sum(f for f, _ in got.values()) == len(terms)  # each hit_id once, with the least of its hits
+
+
+def test_a_salted_term_counts_every_document_once(make, monkeypatch):
+    monkeypatch.setattr(tc, "SALT_ROWS", 10)
+    monkeypatch.setattr(tc, "HOT_KEYS", 100)
+    rows = [(i, "hot" if i % 3 else f"t{i % 40}", i % 50 or None, 1) for i in range(900)]
+    assert {r.term: (r.freq, r.doc_freq) for r in term_counts(make(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_terms_that_share_a_code_get_another_seed(make, monkeypatch):
+    real = tc._codes
+    monkeypatch.setattr(tc, "_codes", lambda term, seed: {"h1": F.length(term).cast("bigint"), "h2": F.lit(0).cast("bigint")} if seed == 42 else real(term, seed))
+    rows = [(i, f"t{i % 7}", i, 1) for i in range(30)]
+    assert {r.term: (r.freq, r.doc_freq) for r in term_counts(make(rows, SCHEMA)).collect()} == brute(rows)
