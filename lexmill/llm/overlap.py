@@ -1,10 +1,15 @@
 """Evaluation records that also stand in the training split, exactly or nearly (problem 4).
 
 Exact prefix-filter join of two sides. Every record becomes the set of its distinct word shingles;
-records with equal sets are one class. Shingles are ordered: those of one side only first, then rare
-ones before common ones. Of each set, only a prefix can decide whether it reaches the similarity with another: the evaluation prefixes are the index,
-the training prefixes probe it, and length and position filters drop what cannot reach it any
-more. What is left is verified on the whole sets.
+records of a side with equal sets are one class, known by its least key. Shingles are ordered: those
+of one side only first, then rare ones before common ones. Of each set, only a prefix can decide
+whether it reaches the similarity with another: the evaluation prefixes are the index, the training
+prefixes probe it. Sizes and places drop matches that cannot reach the similarity; of what is left,
+the number of matches and the place of the last one bound the whole overlap of a pair, and only
+pairs within the bound are verified, on the sets of shared shingles.
+
+A shingle with many sets on either side is salted on both, so that SALT_ROWS x SALT_ROWS pairs at
+most meet under one key. Classes are expanded to pairs of records in blocks of BLOCK_ROWS members.
 
 Defined results for odd input
     null or blank records   no shingles, never a case
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 from lexmill.cluster import hot_lookup, keep
 from lexmill.functions.text import words
 
-#: Probes of one shingle that meet the index in one task before the shingle is salted.
-SALT_ROWS = 20_000
+#: Sets of one side under one shingle that meet those of the other side in one task.
+SALT_ROWS = 2_000
+#: Members of a class in one block.
+BLOCK_ROWS = 1_000
 
 
 def split_of(shard_name: Column) -> Column:
@@ -52,66 +59,109 @@ def _needed(size: Column, threshold: float) -> Column:
 
 
 def classes(rows: DataFrame, n: int, min_words: int) -> DataFrame:
-    """rows with their class: key, split, source, is_train, set_id, s (the sorted distinct shingles)."""
+    """rows with their class: key, split, source, is_train, c1, c2 (code of the set), s (the sorted distinct shingles)."""
     w = rows.withColumn("w", words(F.col("text"))).where(F.size("w") >= max(min_words, n))
     made = w.select("key", "split", "source", (F.col("split") == "train").alias("is_train"), _shingles(F.col("w"), n).alias("s"))
     return made.withColumns({"c1": F.xxhash64("s"), "c2": F.xxhash64(F.lit("second"), "s")})
 
 
-def similar_classes(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes, e of the evaluation side and t of the training side: e1, e2, t1, t2, similarity."""
-    sets = keep(members.groupBy("c1", "c2", "is_train").agg(F.first("s").alias("s")), "sets")
-    size = F.size("s")
-    tokens = sets.select("c1", "c2", "is_train", size.alias("size"), F.explode("s").alias("g"))
-    both = tokens.groupBy("g").agg(F.count("*").alias("n_g"), F.count_if("is_train").alias("n_t"))
-    both = both.withColumn("n_e", F.col("n_g") - F.col("n_t")).where("n_t > 0 and n_e > 0")
-    # shingles of one side only come first in the order of all; they join nothing and are but counted
+def _rank(n_t: Column, n_e: Column, g: Column) -> Column:
+    return F.struct((n_t + n_e).alias("n"), g.alias("g"), n_t.alias("n_t"))
+
+
+def shared_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets(set_id, is_train, n_members, s) -> set_id, is_train, n_members, size, o, alone, inside.
+
+    o: the shingles that both sides have, rarest first; alone: number of the others, which come first
+    in the order of all; inside: how many of o belong to the prefix. Sets without any are left out.
+    """
+    tokens = sets.select("set_id", "is_train", "n_members", F.size("s").alias("size"), F.explode("s").alias("g"))
+    both = tokens.groupBy("g").agg(F.count("*").alias("n_g"), F.count_if("is_train").alias("n_t")).where("n_t > 0 and n_t < n_g")
     ranked = hot_lookup(tokens, keep(both, "shingles"), ["g"], "n_g")
-    order = F.array_sort(F.collect_list(F.struct("n_g", "g", "n_t", "n_e")))
-    shared = ranked.groupBy("c1", "c2", "is_train").agg(order.alias("o"), F.first("size").alias("size"))
+    order = F.array_sort(F.collect_list(_rank(F.col("n_t"), F.col("n_g") - F.col("n_t"), F.col("g"))))
+    shared = ranked.groupBy("set_id", "is_train", "n_members", "size").agg(order.alias("o"))
     alone = F.col("size") - F.size("o")
     inside = F.col("size") - _needed(F.col("size"), threshold) + 1 - alone
-    prefix = shared.withColumns({"alone": alone, "inside": inside}).where("inside > 0")
-    entries = prefix.select("c1", "c2", "is_train", "size", "alone", F.posexplode(F.slice("o", 1, F.col("inside"))).alias("at", "x"))
-    entries = keep(entries.select("c1", "c2", "is_train", "size", (F.col("at") + F.col("alone")).alias("at"), "x.*"), "prefixes")
-    salts = F.ceil(F.col("n_t") / SALT_ROWS).cast("int")
-    probe = entries.where("is_train").select("g", F.pmod(F.xxhash64("c1"), salts.cast("bigint")).alias("salt"), F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("size").alias("t_size"), F.col("at").alias("t_at"))
-    index = entries.where("not is_train").select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)).alias("salt"), F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("size").alias("e_size"), F.col("at").alias("e_at"))
-    need = F.ceil((F.col("t_size") + F.col("e_size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(F.col("t_size") - F.col("t_at"), F.col("e_size") - F.col("e_at"))
-    # at the first common shingle of a pair nothing was common before, so the rests bound the overlap;
-    # later common shingles of the pair may fail this filter, the first one of a true pair cannot
-    close = (F.col("t_size") >= F.col("e_size") * threshold - 1e-9) & (F.col("e_size") >= F.col("t_size") * threshold - 1e-9) & (rest >= need)
-    pairs = probe.join(index, ["g", "salt"]).where(close).select("e1", "e2", "t1", "t2").distinct()
-    one = sets.where("not is_train").select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("s").alias("e_s"))
-    two = sets.where("is_train").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("s").alias("t_s"))
-    whole = pairs.join(one, ["e1", "e2"]).join(two, ["t1", "t2"])
+    return shared.withColumns({"alone": alone, "inside": inside}).where("inside > 0")
+
+
+def _candidates(shared: DataFrame, threshold: float) -> DataFrame:
+    """e, t, sizes and members of the pairs of classes whose prefixes allow the similarity."""
+    entries = shared.select("set_id", "is_train", "n_members", "size", "alone", F.posexplode(F.slice("o", 1, F.col("inside"))).alias("nth", "x"))
+    entries = entries.select("set_id", "is_train", "n_members", "size", (F.col("nth") + F.col("alone")).alias("at"), "x.g", "x.n_t", (F.col("x.n") - F.col("x.n_t")).alias("n_e"))
+    salts_t, salts_e = (F.ceil(F.col(n) / SALT_ROWS).cast("bigint") for n in ("n_t", "n_e"))
+
+    def salted(side: DataFrame, name: str, own: Column, other: Column) -> DataFrame:
+        mine = F.pmod(F.xxhash64("set_id"), own)
+        rows = side.select("g", mine.alias(f"salt_{name}"), F.explode(F.sequence(F.lit(0).cast("bigint"), other - 1)).alias("salt_" + ("e" if name == "t" else "t")), F.col("set_id").alias(name), F.col("n_members").alias(f"{name}_n"), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
+        return rows
+
+    probe = salted(entries.where("is_train"), "t", salts_t, salts_e)
+    index = salted(entries.where("not is_train"), "e", salts_e, salts_t)
+    t_size, e_size = F.col("t_size"), F.col("e_size")
+    near = (t_size >= e_size * threshold - 1e-9) & (e_size >= t_size * threshold - 1e-9)
+    need = F.ceil((t_size + e_size) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    # what a pair can have in common before, at and after a match
+    reach = F.least("t_at", "e_at") + F.least(t_size - F.col("t_at"), e_size - F.col("e_at"))
+    met = probe.join(index, ["g", "salt_t", "salt_e"]).where(near & (reach >= need))
+    pairs = met.groupBy("e", "t").agg(F.count("*").alias("c"), F.max("t_at").alias("t_at"), F.max("e_at").alias("e_at"), *(F.first(k).alias(k) for k in ("e_size", "t_size", "e_n", "t_n")))
+    # a common shingle that is not among the matches comes after the last match in both sets
+    bound = F.col("c") + F.least(t_size - F.col("t_at"), e_size - F.col("e_at")) - 1
+    return pairs.where(bound >= need).select("e", "t", "e_size", "t_size", "e_n", "t_n")
+
+
+def _attached(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with lookup (one row per key), safe where many rows have one key."""
+    return hot_lookup(rows, lookup.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys), keys, "__n").drop("__n")
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes, e of the evaluation side and t of the training side: e, t, e_n, t_n (their members), similarity."""
+    shared = keep(shared_sets(sets, threshold), "shared")
+    pairs = keep(_candidates(shared, threshold), "candidates")
+    touched = pairs.select(F.col("e").alias("set_id")).unionByName(pairs.select(F.col("t").alias("set_id"))).distinct()
+    # only the sets that stand in a pair; one column of numbers each
+    wanted = keep(shared.join(touched, "set_id", "left_semi").select("set_id", F.transform("o", lambda x: x["g"]).alias("s")), "wanted")
+    whole = _attached(pairs, wanted.select(F.col("set_id").alias("e"), F.col("s").alias("e_s")), ["e"])
+    whole = _attached(whole, wanted.select(F.col("set_id").alias("t"), F.col("s").alias("t_s")), ["t"])
     common = F.size(F.array_intersect("e_s", "t_s"))
-    similarity = common / (F.size("e_s") + F.size("t_s") - common)
-    return whole.withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-12).select("e1", "e2", "t1", "t2", "similarity")
+    told = whole.withColumn("similarity", common / (F.col("e_size") + F.col("t_size") - common))
+    return told.where(F.col("similarity") >= threshold - 1e-12).select("e", "t", "e_n", "t_n", "similarity")
 
 
 def cross_split(shards: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members with c1, c2; links between classes of the two sides."""
-    members = keep(classes(previews(shards), n, min_words), "members")
-    links = keep(similar_classes(members, threshold), "links")
-    return members.drop("s"), links
+    """(members, links): members key, split, source, is_train, set_id, n_members; links between classes of the two sides."""
+    rows = keep(classes(previews(shards), n, min_words), "previews")
+    repeated = keep(rows.groupBy("c1", "c2", "is_train").agg(F.min("key").alias("set_id"), F.count("*").alias("n_members")).where("n_members > 1"), "repeated")
+    known = hot_lookup(rows.drop("s"), repeated, ["c1", "c2", "is_train"], "n_members", "left").drop("c1", "c2")
+    members = keep(known.withColumns({"set_id": F.coalesce("set_id", "key"), "n_members": F.coalesce("n_members", F.lit(1))}), "members")
+    # the sets stay where they are unless those that repeat are too many to be broadcast
+    again = keep(members.where("n_members > 1").select("key", "set_id", "n_members"), "again")
+    sets = rows.select("key", "is_train", "s").join(again, "key", "left").where("set_id is null or set_id = key")
+    sets = sets.select(F.col("key").alias("set_id"), "is_train", "s", F.coalesce("n_members", F.lit(1)).alias("n_members"))
+    links = keep(similar_classes(sets, threshold), "links")
+    return members, links
 
 
 def overlapping_pairs(shards: DataFrame) -> DataFrame:
     """Every pair of an evaluation and a training preview that are the same or nearly so."""
     members, links = cross_split(shards)
-    e = members.where("not is_train").select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("key").alias("e_key"))
-    t = members.where("is_train").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("key").alias("t_key"))
-    pairs = links.join(e, ["e1", "e2"]).join(t, ["t1", "t2"])
-    return pairs.select(F.least("e_key", "t_key").alias("preview_a"), F.greatest("e_key", "t_key").alias("preview_b")).distinct()
+    n_blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("bigint")
+    blocked = members.withColumn("block", F.pmod(F.xxhash64("key"), n_blocks("n_members")))
+    blocks = keep(blocked.groupBy("set_id", "block").agg(F.collect_set("key").alias("keys")), "blocks")
+    each = links.select("e", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks("e_n") - 1)).alias("e_block"), "t_n")
+    each = each.select("e", "e_block", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks("t_n") - 1)).alias("t_block"))
+    for side in ("e", "t"):
+        each = _attached(each, blocks.select(F.col("set_id").alias(side), F.col("block").alias(f"{side}_block"), F.col("keys").alias(f"{side}_keys")), [side, f"{side}_block"])
+    pairs = each.select(F.explode("e_keys").alias("e_key"), "t_keys").select("e_key", F.explode("t_keys").alias("t_key"))
+    return pairs.select(F.least("e_key", "t_key").alias("preview_a"), F.greatest("e_key", "t_key").alias("preview_b"))
 
 
 def overlap_report(shards: DataFrame) -> DataFrame:
     """Per evaluation split and source: previews, how many of them stand in training, best similarity."""
     members, links = cross_split(shards)
-    best = links.groupBy(F.col("e1").alias("c1"), F.col("e2").alias("c2")).agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_classes"))
-    e = members.where("not is_train").join(best, ["c1", "c2"], "left")
+    best = links.groupBy(F.col("e").alias("set_id")).agg(F.max("similarity").alias("similarity"))
+    e = members.where("not is_train").join(best, "set_id", "left")
     return e.groupBy("split", F.coalesce("source", F.lit("unknown")).alias("source")).agg(
         F.count("*").alias("previews"), F.count("similarity").alias("found"), F.count_if(F.col("similarity") == 1).alias("identical"), F.round(F.max("similarity"), 6).alias("best_similarity")
     )

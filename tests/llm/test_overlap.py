@@ -48,6 +48,22 @@ def test_salted_probes_give_the_same(make, monkeypatch):
     assert {tuple(r) for r in overlap.overlapping_pairs(make(rows, SCHEMA)).collect()} == brute(rows)
 
 
+def test_a_hot_evaluation_shingle_and_a_hot_class(make, monkeypatch):
+    """One opening in all evaluation previews and in a third of the training ones, and one text copied often on both sides."""
+    monkeypatch.setattr(overlap, "SALT_ROWS", 3)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 4)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    copied = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(30):
+        split = "train" if i < 18 else "val"
+        texts = [("sign in to read on " if split == "val" or rnd.random() < 0.33 else "") + " ".join(word() for _ in range(rnd.choice([4, 9]))) for _ in range(4)]
+        rows.append((i, f"m_{split}_{i}.bin", "web", None, [*texts, copied if i % 2 else copied.upper()]))
+    got = [tuple(r) for r in overlap.overlapping_pairs(make(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) >= 18 * 12
+
+
 def test_report_and_empty(make):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, "m_train_1.bin", "Web", None, [text]), (2, "m_val_2.bin", "web ", None, [text, "other words that do not stand in train at all today"]), (3, "m_test_3.bin", None, None, [text.upper()])]
