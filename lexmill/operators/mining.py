@@ -7,17 +7,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.cluster import keep
+
 #: Distinct neighbours of an n-gram count up to this.
 MOST_CONTEXTS = 256
 
 
-def _stream() -> Window:
-    return Window.partitionBy("scope").orderBy("doc_id", "at", "byte_no")
+#: Longest n-gram: its ids are packed into one integer.
+MOST_IDS = 3
+
+
+def linked(arrays: DataFrame, scope: str | None = None) -> DataFrame:
+    """arrays(doc_id, ids, scope column) as streams: scope, doc_id, a, n, prev, start.
+
+    a: the document's n ids and the MOST_IDS that follow in the stream; prev: the id before; start:
+    its place in the stream. N-grams run over documents, never over streams. One row per document
+    is sorted, not its tokens; without a scope every document is a stream of its own.
+    """
+    rows = arrays.where("size(ids) > 0")
+    if scope is None:
+        return rows.select(F.col("doc_id").cast("string").alias("scope"), "doc_id", F.col("ids").alias("a"), F.size("ids").alias("n"), F.lit(None).cast("int").alias("prev"), F.lit(0).cast("bigint").alias("start"))
+    w = Window.partitionBy("scope").orderBy("doc_id")
+    follow = F.flatten(F.collect_list(F.slice("ids", 1, MOST_IDS)).over(w.rowsBetween(1, MOST_IDS)))
+    start = F.coalesce(F.sum(F.size("ids")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = rows.withColumn("scope", F.coalesce(F.col(scope).cast("string"), F.lit("")))
+    return own.select("scope", "doc_id", F.concat("ids", F.slice(follow, 1, MOST_IDS)).alias("a"), F.size("ids").alias("n"), F.lag(F.element_at("ids", -1)).over(w).alias("prev"), start.alias("start"))
 
 
-def scoped(tokens: DataFrame, scope: Column) -> DataFrame:
-    """tokens with the stream they belong to: n-grams run over documents, never over streams."""
-    return tokens.withColumn("scope", F.coalesce(scope.cast("string"), F.lit("")))
+def _rows(stream: DataFrame, n: int, *more: str) -> DataFrame:
+    """One row per place of an n-gram: key, and of `more` what is asked: scope, scope_code, pos, before, after.
+
+    Shifted copies of a document's array are zipped and written out, which stays in generated code.
+    """
+    if not 1 <= n <= MOST_IDS:
+        raise ValueError(f"n: 1 to {MOST_IDS}")
+    a, size = F.col("a"), F.col("n")
+    columns = {f"i{k}": F.slice(a, k + 1, size) for k in range(n)}
+    columns |= {"before": F.slice(F.concat(F.array("prev"), a), 1, size)} if "before" in more else {}
+    columns |= {"after": F.slice(a, n + 1, size)} if "after" in more else {}
+    columns |= {"pos": F.sequence(F.col("start"), F.col("start") + size - 1)} if "pos" in more else {}
+    named = stream.select("scope", F.xxhash64("scope").alias("scope_code"), *(c.alias(k) for k, c in columns.items()))
+    zipped = named.select(*(c for c in ("scope", "scope_code") if c in more), F.inline(F.arrays_zip(*columns)))
+    return zipped.where(f"i{n - 1} is not null").select(_packed(n).alias("key"), *more)
 
 
 def _packed(n: int) -> Column:
@@ -29,27 +60,26 @@ def _unpacked(key: Column, n: int) -> Column:
     return F.concat_ws(" ", *(F.shiftright(key, 16 * (n - 1 - k)).bitwiseAND(F.lit(0xFFFF)).cast("string") for k in range(n)))
 
 
-def grams(stream: DataFrame, n: int) -> DataFrame:
-    """One row per place of an n-gram (n up to 3): scope, its ids packed into key, before, after."""
-    if not 1 <= n <= 3:
-        raise ValueError("n: 1 to 3")
-    w = _stream()
-    ids = [F.col("id").alias("i0"), *(F.lead("id", k).over(w).alias(f"i{k}") for k in range(1, n))]
-    rows = stream.select("scope", *(["pos"] if "pos" in stream.columns else []), *ids, F.lag("id").over(w).alias("before"), F.lead("id", n).over(w).alias("after"))
-    return rows.where(f"i{n - 1} is not null").withColumn("key", _packed(n))
-
-
 def gram_counts(stream: DataFrame, n: int, least: int = 1) -> DataFrame:
-    """n, gram, occurrences, streams it occurs in, capped numbers of distinct neighbours on both sides."""
-    rows = grams(stream, n).select("key", F.xxhash64("scope").alias("scope"), "before", "after")
-    each = rows.groupBy("key").agg(F.count("*").alias("freq"), F.count_distinct("scope").alias("shard_count"), *(F.least(F.count_distinct(side), F.lit(MOST_CONTEXTS)).alias(f"{side}_contexts") for side in ("before", "after")))
-    return each.where(F.col("freq") >= least).select(F.lit(n).alias("n"), _unpacked(F.col("key"), n).alias("gram"), "freq", "shard_count", "before_contexts", "after_contexts")
+    """n, gram, occurrences, streams it occurs in, capped numbers of distinct neighbours on both sides.
+
+    Distinct pairs of n-gram and neighbour, packed into one integer, are found with map-side combining
+    before they are counted, so that no frequent n-gram meets in one task.
+    """
+    scopes = _rows(stream, n, "scope_code").groupBy("key", "scope_code").agg(F.count("*").alias("c"))
+    often = keep(scopes.groupBy("key").agg(F.sum("c").alias("freq"), F.count("*").alias("shard_count")).where(F.col("freq") >= least), "often")
+    rows = often
+    for side in ("before", "after"):
+        pairs = _rows(stream, n, side).where(F.col(side).isNotNull())
+        found = pairs.select(F.shiftleft("key", 16).bitwiseOR(F.col(side).cast("bigint")).alias("pair")).distinct().groupBy(F.shiftrightunsigned("pair", 16).alias("key")).agg(F.least(F.count("*"), F.lit(MOST_CONTEXTS)).alias(f"{side}_contexts"))
+        rows = rows.join(found, "key", "left")
+    return rows.select(F.lit(n).alias("n"), _unpacked(F.col("key"), n).alias("gram"), "freq", "shard_count", *(F.coalesce(f"{side}_contexts", F.lit(0).cast("bigint")).alias(f"{side}_contexts") for side in ("before", "after")))
 
 
 def merge_values(stream: DataFrame, sizes: tuple[int, ...] = (2, 3), least: int = 20) -> DataFrame:
     """gram_counts with pointwise mutual information and the value of merging."""
-    single = stream.groupBy("id").agg(F.count("*").alias("f"))
-    total = stream.agg(F.count("*").alias("total"))
+    single = keep(_rows(stream, 1).groupBy(F.col("key").cast("int").alias("id")).agg(F.count("*").alias("f")), "single")  # one row per piece
+    total = single.agg(F.sum("f").alias("total"))
     out = []
     for n in sizes:
         rows = gram_counts(stream, n, least).join(F.broadcast(total))
@@ -82,7 +112,7 @@ def candidate_grams(candidates: DataFrame, n: int) -> DataFrame:
 
 def naive_savings(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataFrame:
     """Occurrences of each candidate and what merging all of them would save, overlaps not considered."""
-    found = grams(stream, n).groupBy("key").agg(F.count("*").alias("occurrences"))
+    found = _rows(stream, n).groupBy("key").agg(F.count("*").alias("occurrences"))
     return candidate_grams(candidates, n).join(found.select(_unpacked(F.col("key"), n).alias("gram"), "occurrences"), "gram").select("gram", "recorded_freq", "occurrences", (F.col("occurrences") * (n - 1)).alias("naive_saved"))
 
 
@@ -92,10 +122,9 @@ def greedy_merges(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataF
     Places where a candidate begins fall into islands: runs of places less than n apart. No merge
     reaches from one island into the next, so the pass runs within islands, not over the stream.
     """
-    place = stream.withColumn("pos", F.row_number().over(_stream()))
     ids = [F.split("gram", " ")[k].cast("int").alias(f"i{k}") for k in range(n)]
     keys = candidate_grams(candidates, n).select(*ids).select(_packed(n).alias("key")).distinct()
-    marked = grams(place, n).select("scope", "pos", "key").join(keys, "key", "left_semi")
+    marked = _rows(stream, n, "scope", "pos").join(keys, "key", "left_semi")
     w = Window.partitionBy("scope").orderBy("pos")
     fresh = F.coalesce(F.col("pos") - F.lag("pos").over(w) >= n, F.lit(True))
     islands = marked.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(w))
@@ -106,7 +135,7 @@ def greedy_merges(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataF
         lambda a: a["merges"],
     )
     merged = islands.groupBy("scope", "island").agg(passed.alias("merges")).groupBy("scope").agg(F.sum("merges").alias("merges"))
-    sizes = stream.groupBy("scope").agg(F.count("*").alias("tokens"))
+    sizes = stream.groupBy("scope").agg(F.sum("n").alias("tokens"))
     counted = sizes.join(merged, "scope", "left").withColumn("merges", F.coalesce("merges", F.lit(0)))
     return counted.select("scope", "tokens", "merges", (F.col("merges") * (n - 1)).alias("saved"))
 

@@ -11,18 +11,24 @@ from lexmill.cluster import running_total
 from lexmill.operators.evaluation import r6
 
 
-def profile(tokens: DataFrame) -> DataFrame:
-    """Per shard_name: token count, least, greatest, mean, population deviation, distinct ids and their share."""
-    one = tokens.groupBy("shard_name").agg(F.count("*").alias("token_count"), F.min("id").alias("min_token"), F.max("id").alias("max_token"), r6(F.avg("id")).alias("mean_token"), r6(F.stddev_pop("id")).alias("std_token"), F.count_distinct("id").alias("unique_token_count"))
-    return one.withColumn("unique_token_ratio", r6(F.col("unique_token_count") / F.col("token_count")))
+def id_counts(arrays: DataFrame) -> DataFrame:
+    """shard_name, id, uses: all that a profile needs, combined before the shuffle."""
+    return arrays.select("shard_name", F.explode("ids").alias("id")).groupBy("shard_name", "id").agg(F.count("*").alias("uses"))
 
 
-def top_tokens(tokens: DataFrame, most: int = 20) -> DataFrame:
-    """Per shard its most frequent ids with their share; equal counts in order of id."""
-    each = tokens.groupBy("shard_name", "id").agg(F.count("*").alias("uses"))
-    whole = each.groupBy("shard_name").agg(F.sum("uses").alias("all_uses"))
-    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("shard_name").orderBy(F.desc("uses"), "id"))).where(F.col("place") <= most)
-    return ranked.join(whole, ranked.shard_name.eqNullSafe(whole.shard_name)).select(ranked.shard_name, "place", "id", r6(F.col("uses") / F.col("all_uses")).alias("share"))
+def profile(counts: DataFrame) -> DataFrame:
+    """Per shard_name of id_counts: token count, least, greatest, mean, population deviation, distinct ids and their share."""
+    one = counts.groupBy("shard_name").agg(F.sum("uses").alias("token_count"), F.min("id").alias("min_token"), F.max("id").alias("max_token"), (F.sum(F.col("id").cast("double") * F.col("uses")) / F.sum("uses")).alias("mean"), F.count("*").alias("unique_token_count"))
+    off = counts.alias("c").join(one.alias("o"), F.col("c.shard_name").eqNullSafe(F.col("o.shard_name"))).select("o.*", "uses", (F.col("id") - F.col("mean")).alias("off"))
+    spread = off.groupBy(*one.columns).agg(F.sqrt(F.sum(F.col("uses") * F.col("off") * F.col("off")) / F.col("token_count")).alias("std"))
+    return spread.select("shard_name", "token_count", "min_token", "max_token", r6(F.col("mean")).alias("mean_token"), r6(F.col("std")).alias("std_token"), "unique_token_count", r6(F.col("unique_token_count") / F.col("token_count")).alias("unique_token_ratio"))
+
+
+def top_tokens(counts: DataFrame, most: int = 20) -> DataFrame:
+    """Per shard of id_counts its most frequent ids with their share; equal counts in order of id."""
+    whole = Window.partitionBy("shard_name")
+    ranked = counts.withColumns({"place": F.row_number().over(whole.orderBy(F.desc("uses"), "id")), "all_uses": F.sum("uses").over(whole)})
+    return ranked.where(F.col("place") <= most).select("shard_name", "place", "id", r6(F.col("uses") / F.col("all_uses")).alias("share"))
 
 
 def once_per_shard(summaries: DataFrame) -> DataFrame:
@@ -61,13 +67,21 @@ def shard_scores(summaries: DataFrame) -> DataFrame:
     return ranked.withColumns({f"rank_{c}": F.rank().over(Window.orderBy(o(f"score_{c}"))) for c, o in (("priority", F.desc), ("diversity", F.desc), ("noise", F.asc))})
 
 
-def sample_windows(tokens: DataFrame, width: int = 512, samples: int = 8) -> DataFrame:
-    """The rows of evenly spaced windows of a stream: scope, sample, pos, id; one window where it is shorter."""
-    pos = tokens.withColumn("pos", F.row_number().over(Window.partitionBy("scope").orderBy("doc_id", "at", "byte_no")) - 1)
-    sizes = tokens.groupBy("scope").agg(F.count("*").alias("n"))
-    last = (F.col("n") - width).cast("double")
-    starts = sizes.select("scope", F.explode(F.when(F.col("n") <= width, F.array(F.struct(F.lit(0).alias("sample"), F.lit(0).cast("bigint").alias("start")))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.struct(i.alias("sample"), F.floor(i * (last / (samples - 1))).alias("start"))))).alias("w"))
-    return pos.join(starts, "scope").where((F.col("pos") >= F.col("w.start")) & (F.col("pos") < F.col("w.start") + width)).select("scope", "w.sample", "pos", "id")
+def sample_windows(stream: DataFrame, width: int = 512, samples: int = 8) -> DataFrame:
+    """The tokens of evenly spaced windows of a stream (mining.linked): scope, sample, pos, id; one window where it is shorter.
+
+    Only the stretches of documents that windows reach into are written out.
+    """
+    sizes = stream.groupBy("scope").agg(F.sum("n").alias("n_scope"))
+    last = (F.col("n_scope") - width).cast("double")
+    many = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.struct(i.alias("sample"), F.floor(i * (last / (samples - 1))).alias("begin")))
+    starts = sizes.select("scope", F.when(F.col("n_scope") <= width, F.array(F.struct(F.lit(0).alias("sample"), F.lit(0).cast("bigint").alias("begin")))).otherwise(many).alias("windows"))
+    placed = stream.join(starts, "scope")
+    low = lambda w: F.greatest(w["begin"], F.col("start"))
+    high = lambda w: F.least(w["begin"] + width, F.col("start") + F.col("n"))
+    met = placed.select("scope", "a", "start", F.explode(F.filter(F.transform("windows", lambda w: F.struct(w["sample"].alias("sample"), low(w).alias("low"), high(w).alias("high"))), lambda w: w["low"] < w["high"])).alias("w"))
+    cut = F.slice("a", (F.col("w.low") - F.col("start") + 1).cast("int"), (F.col("w.high") - F.col("w.low")).cast("int"))
+    return met.select("scope", "w.sample", "w.low", F.posexplode(cut).alias("k", "id")).select("scope", "sample", (F.col("low") + F.col("k")).alias("pos"), "id")
 
 
 def export_layout(counts: DataFrame, val_docs: int, shard_tokens: int, most_shards: int | None = None) -> DataFrame:

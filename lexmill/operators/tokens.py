@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.vocabulary import collected, longest_match_pattern, piece_bytes
+from lexmill.operators.vocabulary import Index, collected, longest_match_pattern, piece_bytes
 
 
 def literal_pieces(vocab: DataFrame) -> list[str]:
     return sorted({p for _, p in collected(vocab) if p and not (len(p) == 6 and p.startswith("<0x") and p.endswith(">"))})
 
 
-def greedy_pieces(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, m: the text cut into longest pieces, single characters where no piece matches."""
+def greedy_pieces(docs: DataFrame, vocab: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named, m: the text cut into longest pieces, single characters where no piece matches."""
     pattern = longest_match_pattern(literal_pieces(vocab))
-    return docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("m"))
+    return docs.select("doc_id", *more, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("m"))
 
 
 def greedy_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -49,50 +54,114 @@ def token_rows(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select("doc_id", "at", "byte_no", F.coalesce("id", "byte_id").alias("id"), "piece", F.col("id").isNull().alias("is_byte"))
 
 
-def _in_document() -> Window:
-    return Window.partitionBy("doc_id").orderBy("at", "byte_no")
+def token_arrays(docs: DataFrame, vocab: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named, ids: the greedy tokens of each document in order, characters without a piece as their bytes.
+
+    Texts are cut in the JVM; ids are looked up a batch at a time. All that follows from a token's
+    neighbours is then a matter of places in an array, without a shuffle or sort of tokens.
+    """
+    index = Index.of(collected(vocab))
+    pieces = pa.array(list(index.ids), pa.string())
+    numbers, bytes_ = np.array([*index.ids.values(), -1], np.int32), np.array(index.byte_ids, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column(b.num_columns - 1)
+            values, offsets = m.flatten(), np.diff(m.offsets.to_numpy())
+            at = pc.fill_null(pc.index_in(values, pieces), -1).to_numpy()
+            lost = at < 0
+            sizes = np.ones(len(at), np.int64)
+            spelled = values.filter(pa.array(lost)).cast(pa.binary())
+            sizes[lost] = pc.binary_length(spelled).to_numpy(zero_copy_only=False)
+            ids = np.repeat(numbers[at], sizes)
+            if lost.any():
+                ids[np.repeat(lost, sizes)] = bytes_[np.frombuffer(b"".join(spelled.to_pylist()), np.uint8)]
+            ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(offsets)]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], [*b.schema.names[:-1], "ids"])
+
+    cut = greedy_pieces(docs, vocab, *more)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
+    return cut.mapInArrow(run, f"{kinds}, ids array<int>")
+
 
+def unigrams(arrays: DataFrame) -> DataFrame:
+    return arrays.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("freq"))
 
-def neighbours(tokens: DataFrame) -> DataFrame:
-    """tokens with the ids before and after in the document."""
-    w = _in_document()
-    return tokens.withColumns({"before": F.lag("id").over(w), "after": F.lead("id").over(w)})
 
+def _doc_counts(arrays: DataFrame) -> DataFrame:
+    return arrays.select(F.explode(F.array_distinct("ids")).alias("id")).groupBy("id").agg(F.count("*").alias("doc_freq"))
 
-def usage(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+
+def usage(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
     """Per vocabulary id, those never used included: use_count, doc_count and the score of leaving it out."""
-    used = tokens.groupBy("id").agg(F.count("*").alias("use_count"), F.count_distinct("doc_id").alias("doc_count"))
+    used = unigrams(arrays).join(_doc_counts(arrays), "id").select("id", F.col("freq").alias("use_count"), F.col("doc_freq").alias("doc_count"))
     rows = vocab.select("id", "piece").join(used, "id", "left").select("id", "piece", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("use_count", "doc_count")))
     score = 5 * F.col("use_count") + 50 * F.col("doc_count") + 10 * F.greatest(F.lit(0), F.char_length("piece") - 1) + 5 * F.greatest(F.lit(0), piece_bytes(F.col("piece")) - 1)
     return rows.withColumn("removal_score", score.cast("bigint"))
 
 
-def inventory(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Per vocabulary id: freq, doc_freq, distinct neighbours on both sides, piece_bytes."""
-    stats = neighbours(tokens).groupBy("id").agg(F.count("*").alias("freq"), F.count_distinct("doc_id").alias("doc_freq"), F.count_distinct("before").alias("left_diversity"), F.count_distinct("after").alias("right_diversity"))
+def inventory(arrays: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Per vocabulary id: freq, doc_freq, distinct neighbours on both sides, piece_bytes.
+
+    Pairs of neighbours are counted with map-side combining, as many as there are distinct ones.
+    """
+    pairs = arrays.where("size(ids) > 1").select(F.explode(F.transform("ids", lambda x, i: F.struct(F.get(F.col("ids"), i - 1).alias("before"), x.alias("id")))).alias("p")).select("p.*").where("before is not null")
+    distinct = pairs.distinct()
+    left = distinct.groupBy("id").agg(F.count("*").alias("left_diversity"))
+    right = distinct.groupBy(F.col("before").alias("id")).agg(F.count("*").alias("right_diversity"))
+    rows = vocab.select("id", "piece")
+    for stats in (unigrams(arrays), _doc_counts(arrays), left, right):
+        rows = rows.join(stats, "id", "left")
     counts = ("freq", "doc_freq", "left_diversity", "right_diversity")
-    return vocab.select("id", "piece").join(stats, "id", "left").select("id", "piece", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts), piece_bytes(F.col("piece")).cast("bigint").alias("piece_bytes"))
+    return rows.select("id", "piece", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts), piece_bytes(F.col("piece")).cast("bigint").alias("piece_bytes"))
+
+
+def _by_id(vocab: DataFrame, *facts: Column) -> DataFrame:
+    """One row: arrays of the named facts, in which the entry after id is that of the piece."""
+    names = [f"f{i}" for i in range(len(facts))]
+    rows = vocab.select("id", *(f.alias(n) for f, n in zip(facts, names)))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("a"))
+    return one.select(*(F.col(f"a.{n}").alias(n) for n in names))
 
 
-def context_windows(tokens: DataFrame, target: Column, width: int = 3, most: int = 5) -> DataFrame:
-    """The first `most` places of each target piece, with the pieces around them, the target in brackets."""
-    order = Window.partitionBy("piece").orderBy("doc_id", "at", "byte_no")
-    around = tokens.withColumns({"left": F.array_join(F.collect_list("piece").over(_in_document().rowsBetween(-width, -1)), ""), "right": F.array_join(F.collect_list("piece").over(_in_document().rowsBetween(1, width)), "")})
-    hits = around.where(target).withColumn("hit", F.row_number().over(order)).where(F.col("hit") <= most)
-    return hits.select("piece", "hit", "doc_id", F.concat("left", F.lit("["), "piece", F.lit("]"), "right").alias("context"))
+def context_windows(arrays: DataFrame, vocab: DataFrame, target: Column, width: int = 3, most: int = 5) -> DataFrame:
+    """The first `most` places of each target piece, with the pieces around them, the target in brackets.
 
+    Only places of targets leave the arrays; their surroundings are written out for those kept.
+    """
+    wanted = [r.id for r in vocab.where(target).select("id").limit(65_536).collect()]
+    around = F.transform("ids", lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("id"), i.alias("i"), F.slice(F.col("ids"), F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width))).alias("left"), F.slice(F.col("ids"), i + 2, width).alias("right"))))
+    order = Window.partitionBy("id").orderBy("doc_id", "i")
+    hits = arrays.select("doc_id", F.explode(F.filter(around, lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*")
+    kept = hits.withColumn("hit", F.row_number().over(order)).where(F.col("hit") <= most)
+    sides = kept.select("id", "hit", "doc_id", F.explode_outer(F.concat(F.transform("left", lambda x, k: F.struct(F.lit(0).alias("side"), k.alias("k"), x.alias("w"))), F.transform("right", lambda x, k: F.struct(F.lit(1).alias("side"), k.alias("k"), x.alias("w"))))).alias("x"))
+    named = sides.join(F.broadcast(vocab.select(F.col("id").alias("w"), F.col("piece").alias("spelled"))), F.col("x.w") == F.col("w"), "left")
+    text = lambda side: F.array_join(F.transform(F.filter("parts", lambda p: p["side"] == side), lambda p: p["spelled"]), "")
+    one = named.groupBy("id", "hit", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("x.side", "x.k", "spelled")))).alias("parts"))
+    return one.join(F.broadcast(vocab.select("id", "piece")), "id").select("piece", "hit", "doc_id", F.concat(text(0), F.lit("["), "piece", F.lit("]"), text(1)).alias("context"))
 
-def bigram_buckets(tokens: DataFrame, buckets: int = 4096) -> DataFrame:
+
+def bigram_buckets(arrays: DataFrame, buckets: int = 4096) -> DataFrame:
     """How many token pairs fall into each hash bucket; a document's first token follows 0."""
-    before = F.coalesce(F.lag("id").over(_in_document()), F.lit(0)).cast("bigint")
-    mixed = (before * F.lit(1315423911)).bitwiseXOR(F.col("id").cast("bigint") * F.lit(2654435761))
-    return tokens.select(F.pmod(mixed, F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("pairs"))
-
-
-def byte_accounting(tokens: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Per document: tokens and the bytes they stand for; a leading space counts unless the token before is a boundary."""
-    before = tokens.withColumn("prev", F.lag("id").over(_in_document()))
-    boundary = lookup.select(F.col("id").alias("prev"), F.col("is_boundary").alias("prev_boundary"))
-    rows = before.join(lookup, "id").join(boundary, "prev", "left")
-    size = F.col("base_bytes") + (F.col("has_leading_space") & ~F.coalesce("prev_boundary", F.lit(True))).cast("int")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(size).alias("counted_bytes"))
+
+    def bucket(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col("ids"), i - 1), F.lit(0)).cast("bigint")
+        return F.pmod((before * F.lit(1315423911)).bitwiseXOR(x.cast("bigint") * F.lit(2654435761)), F.lit(buckets))
+
+    return arrays.select(F.explode(F.transform("ids", bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("pairs"))
+
+
+def byte_accounting(arrays: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Per document with tokens: their number and the bytes they stand for; a leading space counts unless the token before is a boundary.
+
+    lookup: id (from 0 without gaps), base_bytes, has_leading_space, is_boundary.
+    """
+    facts = _by_id(lookup, F.col("base_bytes"), F.col("has_leading_space"), F.col("is_boundary"))  # one row
+
+    def size(x: Column, i: Column) -> Column:
+        spaced = F.get(F.col("f1"), x) & (i > 0) & ~F.coalesce(F.get(F.col("f2"), F.get(F.col("ids"), i - 1)), F.lit(True))
+        return (F.get(F.col("f0"), x) + spaced.cast("int")).cast("bigint")
+
+    rows = arrays.where("size(ids) > 0").join(F.broadcast(facts))
+    counted = F.aggregate(F.transform("ids", size), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), counted.alias("counted_bytes"))

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from lexmill.catalog import query
 from lexmill.cluster import keep, table
 from lexmill.operators import mining
-from lexmill.operators.tokens import token_rows
+from lexmill.operators.tokens import token_arrays, unigrams
 from lexmill.plans.common import TOKENS, docs_of
 
 
-def stream(spark: SparkSession, d: str, scope: str = "shard_name") -> DataFrame:
-    """Greedy tokens of all documents with their stream (kept: n-grams of several lengths read it)."""
-    tokens = token_rows(docs_of(spark, d), table(spark, d, "vocab"))
-    if scope != "doc_id":
-        tokens = tokens.join(docs_of(spark, d).select("doc_id", scope), "doc_id")
-    return keep(mining.scoped(tokens, F.col(scope)), "stream")
+def stream(spark: SparkSession, d: str, scope: str | None = "shard_name") -> DataFrame:
+    """The greedy tokens of all documents as streams (kept: n-grams of several lengths read it)."""
+    more = [scope] if scope else []
+    return keep(mining.linked(token_arrays(docs_of(spark, d), table(spark, d, "vocab"), *more), scope), "stream")
 
 
 def _grams(n: int) -> str:
@@ -35,7 +33,7 @@ def _counts(n: int, least: int) -> str:
 
 @query("unigram_counts", f"WITH {TOKENS} SELECT id, count(*) AS freq FROM tok GROUP BY id")
 def unigram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return token_rows(docs_of(spark, d), table(spark, d, "vocab")).groupBy("id").agg(F.count("*").alias("freq"))
+    return unigrams(token_arrays(docs_of(spark, d), table(spark, d, "vocab")))
 
 
 @query("bigram_counts", f"{_S} {_counts(2, 1)}")
@@ -89,4 +87,4 @@ def merge_savings_greedy(spark: SparkSession, d: str) -> DataFrame:
 @query("merge_simulation", _greedy("doc_id") + " SELECT sum(tokens)::BIGINT AS tokens, sum(merges)::BIGINT AS merges, sum(saved)::BIGINT AS saved, count(*) FILTER (saved > 0) AS streams_with_merges, round(sum(saved) * 100.0 / sum(tokens), 6) AS percent_saved FROM r")
 def merge_simulation(spark: SparkSession, d: str) -> DataFrame:
     """Merges within each document on its own: lengths before and after, over all documents."""
-    return mining.savings_report(mining.greedy_merges(stream(spark, d, "doc_id"), table(spark, d, "filtered_trigram_candidates_v2")))
+    return mining.savings_report(mining.greedy_merges(stream(spark, d, None), table(spark, d, "filtered_trigram_candidates_v2")))

@@ -10,14 +10,14 @@ from lexmill.cluster import keep, shared_dir, table
 from lexmill.operators import refine
 from lexmill.operators import shards as sh
 from lexmill.operators.segmentation import encoded
-from lexmill.operators.tokens import greedy_counts
+from lexmill.operators.tokens import greedy_counts, token_arrays
 from lexmill.plans.common import TOKENS, counts, docs_of
 from lexmill.plans.mining import stream
 from lexmill.sources import token_shards
 
 
-def _shard_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return stream(spark, d)
+def _shard_counts(spark: SparkSession, d: str) -> DataFrame:
+    return keep(sh.id_counts(token_arrays(docs_of(spark, d), table(spark, d, "vocab"), "shard_name")), "id-counts")
 
 
 @query(
@@ -25,12 +25,12 @@ def _shard_tokens(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {TOKENS} SELECT *, round(unique_token_count / token_count, 6) AS unique_token_ratio FROM (SELECT shard_name, count(*) AS token_count, min(id) AS min_token, max(id) AS max_token, round(avg(id), 6) AS mean_token, round(stddev_pop(id), 6) AS std_token, count(DISTINCT id) AS unique_token_count FROM tok GROUP BY shard_name)",
 )
 def shard_profile(spark: SparkSession, d: str) -> DataFrame:
-    return sh.profile(_shard_tokens(spark, d))
+    return sh.profile(_shard_counts(spark, d))
 
 
 @query("shard_top_tokens", f"WITH {TOKENS}, e AS (SELECT shard_name, id, count(*) AS uses FROM tok GROUP BY 1, 2) SELECT shard_name, place::INT AS place, id, round(uses / all_uses, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY shard_name ORDER BY uses DESC, id) AS place, sum(uses) OVER (PARTITION BY shard_name) AS all_uses FROM e) WHERE place <= 20")
 def shard_top_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return sh.top_tokens(_shard_tokens(spark, d))
+    return sh.top_tokens(_shard_counts(spark, d))
 
 
 def _z(column: str) -> str:
@@ -60,7 +60,7 @@ st AS (SELECT scope, i AS sample, CASE WHEN n <= 512 THEN 0 ELSE floor(i * ((n -
 SELECT scope, sample::INT AS sample, count(*) AS tokens, count(DISTINCT id) AS distinct_tokens, min(pos) AS first_pos FROM q JOIN st USING (scope) WHERE pos >= start AND pos < start + 512 GROUP BY scope, sample""",
 )
 def shard_sample_windows(spark: SparkSession, d: str) -> DataFrame:
-    return sh.sample_windows(_shard_tokens(spark, d)).groupBy("scope", "sample").agg(F.count("*").alias("tokens"), F.count_distinct("id").alias("distinct_tokens"), F.min("pos").alias("first_pos"))
+    return sh.sample_windows(stream(spark, d)).groupBy("scope", "sample").agg(F.count("*").alias("tokens"), F.count_distinct("id").alias("distinct_tokens"), F.min("pos").alias("first_pos"))
 
 
 _SHARD = 20_000

@@ -19,6 +19,11 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return tk.token_rows(docs_of(spark, d), table(spark, d, "vocab"))
 
 
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy tokens of each document (kept: several counts read them)."""
+    return keep(tk.token_arrays(docs_of(spark, d), table(spark, d, "vocab")), "arrays")
+
+
 @query("token_rows", f'WITH {TOKENS} SELECT doc_id, ix - 1 AS "at", byte_no, id, piece, is_byte FROM tok')
 def token_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, d)
@@ -26,7 +31,7 @@ def token_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vocabulary_usage", f"WITH {TOKENS} SELECT id, piece, use_count, doc_count, (5 * use_count + 50 * doc_count + 10 * greatest(0, length(piece) - 1) + 5 * greatest(0, {_SIZE} - 1))::BIGINT AS removal_score FROM (SELECT v.id, v.piece, count(t.doc_id) AS use_count, count(DISTINCT t.doc_id) AS doc_count FROM vocab v LEFT JOIN tok t ON v.id = t.id GROUP BY v.id, v.piece)")
 def vocabulary_usage(spark: SparkSession, d: str) -> DataFrame:
-    return tk.usage(rows(spark, d), table(spark, d, "vocab"))
+    return tk.usage(arrays(spark, d), table(spark, d, "vocab"))
 
 
 @query(
@@ -36,7 +41,7 @@ a AS (SELECT id, count(*) AS freq, count(DISTINCT doc_id) AS doc_freq, count(DIS
 SELECT v.id, v.piece, coalesce(a.freq, 0) AS freq, coalesce(doc_freq, 0) AS doc_freq, coalesce(left_diversity, 0) AS left_diversity, coalesce(right_diversity, 0) AS right_diversity, ({_SIZE})::BIGINT AS piece_bytes FROM vocab v LEFT JOIN a USING (id)""",
 )
 def token_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return tk.inventory(rows(spark, d), table(spark, d, "vocab"))
+    return tk.inventory(arrays(spark, d), table(spark, d, "vocab"))
 
 
 @query("fallback_characters", f"WITH {TOKENS} SELECT x AS character, unicode(x)::INT AS code_point, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM m WHERE id IS NULL GROUP BY x")
@@ -49,7 +54,7 @@ def fallback_characters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bigram_buckets", f"WITH {TOKENS}, b AS (SELECT (xor(coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY ix, byte_no), 0)::BIGINT * 1315423911, id::BIGINT * 2654435761)) AS h FROM tok) SELECT ((h % 4096) + 4096) % 4096 AS bucket, count(*) AS pairs FROM b GROUP BY 1")
 def bigram_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return tk.bigram_buckets(rows(spark, d))
+    return tk.bigram_buckets(tk.token_arrays(docs_of(spark, d), table(spark, d, "vocab")))
 
 
 @query("token_class_masks", f"SELECT id, piece, {_BYTE} AS is_byte, NOT {_BYTE} AND piece LIKE ' %' AS is_space_led, NOT {_BYTE} AND contains(trim(piece), ' ') AS is_phrase, NOT {_BYTE} AND (contains(piece, chr(10)) OR NOT regexp_matches(piece, '[\\p{{L}}\\p{{N}}]')) AS is_structural FROM vocab")
@@ -71,7 +76,7 @@ def byte_lookup(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, count(*) AS n_tokens, sum(base_bytes + CASE WHEN has_leading_space AND prev IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS counted_bytes FROM p JOIN lu USING (id) GROUP BY doc_id""",
 )
 def byte_accounting(spark: SparkSession, d: str) -> DataFrame:
-    return tk.byte_accounting(rows(spark, d), keep(vo.byte_lookup(table(spark, d, "vocab")), "lookup"))
+    return tk.byte_accounting(tk.token_arrays(docs_of(spark, d), table(spark, d, "vocab")), vo.byte_lookup(table(spark, d, "vocab")))
 
 
 @query(
@@ -81,7 +86,7 @@ def byte_accounting(spark: SparkSession, d: str) -> DataFrame:
 SELECT piece, hit::INT AS hit, doc_id, context FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY doc_id, ix, byte_no) AS hit FROM a WHERE NOT is_byte AND length(piece) >= 6) WHERE hit <= 5""",
 )
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
-    return tk.context_windows(rows(spark, d), ~F.col("is_byte") & (F.char_length("piece") >= 6))
+    return tk.context_windows(arrays(spark, d), table(spark, d, "vocab"), ~vo.is_byte_piece(F.col("piece")) & (F.char_length("piece") >= 6))
 
 
 @query("vocabulary_validated", "SELECT id, piece FROM vocab")

@@ -94,7 +94,7 @@ UNION ALL SELECT 'weak_overall', row_number() OVER (ORDER BY removal_score, use_
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
     vocab = table(spark, d, "vocab")
-    return bd.removal_families(keep(tk.usage(tk.token_rows(docs_of(spark, d), vocab), vocab), "usage"))
+    return bd.removal_families(keep(tk.usage(keep(tk.token_arrays(docs_of(spark, d), vocab), "arrays"), vocab), "usage"))
 
 
 @query("removal_families", f"{_FAMILIES} SELECT * FROM fam")
