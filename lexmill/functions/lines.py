@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import WHITESPACE, collapse_space, count_of
+from lexmill.functions.text import WHITESPACE, collapse_space, count_of, strip_space
 
 #: Shortest and least upper-case share of a heading.
 HEADING_CHARS, HEADING_LETTERS, HEADING_SHARE = 4, 4, 0.55
@@ -33,10 +33,15 @@ def lexed(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_" + WHITESPACE + "]+"), F.lit(0))
 
 
+def stripped(text: Column) -> Column:
+    return strip_space(text)
+
+
 def is_heading(line: Column) -> Column:
+    """All capitals (caseless letters aside), or enough of its letters capitals."""
     letters, upper = count_of(line, r"\p{L}"), count_of(line, r"\p{Lu}")
-    trimmed = F.regexp_replace(line, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
-    return (F.char_length(trimmed) >= HEADING_CHARS) & (letters > 0) & ((upper == letters) | ((letters >= HEADING_LETTERS) & (upper >= letters * HEADING_SHARE)))
+    capitals = line.rlike(r"\p{Lu}") & ~line.rlike(r"[\p{Ll}\p{Lt}]")
+    return (F.char_length(strip_space(line)) >= HEADING_CHARS) & (capitals | ((letters >= HEADING_LETTERS) & (upper >= letters * HEADING_SHARE)))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -63,7 +68,14 @@ def mined_additions(docs: DataFrame, vocab: DataFrame, least: int = 3) -> DataFr
     return new.select("span", "freq", "doc_freq", score.cast("bigint").alias("score"))
 
 
+# Pieces that a swap leaves alone.
+PROTECTED_MARKS = list(".,:;!?'\"`’“”()[]{}-–—/\\&%$#@*+=_|<>")
+PROTECTED_ENDINGS = ["'s", "’s", "'t", "’t", "'re", "’re", "'ve", "’ve", "'ll", "’ll", "'m", "’m", "'d", "’d", " s", " t", " re", " ve", " ll", " m", " d", "’", "'"]
+
+
 def is_protected(piece: Column) -> Column:
-    """Pieces that a swap leaves alone: bytes, single letters and digits, spaces, punctuation, contractions."""
-    bare = F.trim(piece)
-    return piece.rlike("^<0x[0-9A-Fa-f]{2}>$") | bare.rlike(r"^[\p{L}\p{N}]?$") | ~piece.rlike(r"[\p{L}\p{N}]") | bare.rlike(r"['’](?:s|t|m|d|ll|re|ve)$")
+    """Pieces that a swap leaves alone: bytes, listed marks and endings, single letters and digits, whitespace."""
+    bare = strip_space(piece)
+    listed = bare.isin(PROTECTED_MARKS + PROTECTED_ENDINGS) | piece.isin(PROTECTED_ENDINGS)
+    blank = (piece != "") & (bare == "")
+    return (piece.startswith("<0x") & piece.endswith(">")) | listed | bare.rlike(r"^[\p{L}\p{Nd}]$") | blank

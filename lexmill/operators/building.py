@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.lines import is_protected
+from lexmill.functions.text import strip_space
+
 SLOTS = 1024
 BYTE_SLOTS = 256
 
@@ -93,6 +96,25 @@ def fill_reserved(vocab: DataFrame, add: DataFrame) -> DataFrame:
     return vocab.join(pairs, "id", "left").select("id", F.coalesce("new_piece", "piece").alias("piece"), F.when(F.col("new_piece").isNotNull(), "filled").otherwise(F.col("kind")).alias("kind"))
 
 
-def combined_value(freq: Column, text: Column, score: Column) -> Column:
-    """Value of a word for a slot: log frequency, with a premium for a leading space and for length."""
-    return F.ln(1.0 + F.coalesce(freq, F.lit(0))) * 100 + F.when(text.startswith(" "), 25).otherwise(0) + F.least(F.char_length(text), F.lit(12)) * 3 + F.coalesce(score, F.lit(0)) * 2
+# Ids that no swap removes, and the usual least counts of an added piece.
+SPECIAL_IDS, LEAST_FREQ, LEAST_DOC_FREQ = [0, 1, 2, 3], 500, 200
+
+
+def safe_swaps(stats: DataFrame, most: int, least_freq: int = LEAST_FREQ, least_doc_freq: int = LEAST_DOC_FREQ) -> DataFrame:
+    """place, remove_id, remove_piece, add_piece: pieces of the base ('sp') that are missed least, and the strongest that it lacks.
+
+    stats: one report row per source and token; of repeated rows the one with the highest counts.
+    """
+    order = Window.partitionBy("source", "token_id").orderBy(F.col("freq").desc_nulls_last(), F.col("doc_freq").desc_nulls_last(), F.col("piece").asc_nulls_last())
+    rows = stats.withColumn("nth", F.row_number().over(order)).where("nth = 1 and piece is not null").drop("nth")
+    c = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("double")
+    p, credit, free = F.col("piece"), F.greatest(F.lit(0.0), c("compression_credit")), ~is_protected(F.col("piece"))
+    base = rows.where("source = 'sp'")
+    missed = F.round(c("freq") + 2.0 * c("doc_freq") + 0.5 * c("context_diversity") + 5.0 * credit, 6)
+    out = _numbered(base.where(free & ~F.col("token_id").isin(SPECIAL_IDS)).withColumn("missed", missed), "missed", "token_id")
+    bonus = F.when(p.startswith(" "), 1.0).otherwise(0.0) + F.when(F.char_length(strip_space(p)) >= 2, 0.5).otherwise(0.0)
+    strength = F.round(2.0 * F.sqrt(c("freq")) + 3.0 * F.sqrt(c("doc_freq")) + F.sqrt(c("context_diversity")) + 4.0 * credit + bonus, 6)
+    new = rows.where(free & (c("in_sp") != 1) & (F.col("in_custom") == 1) & (c("freq") >= least_freq) & (c("doc_freq") >= least_doc_freq)).join(F.broadcast(base.select("piece")), "piece", "left_anti")
+    best = _numbered(new.groupBy("piece").agg(F.max(strength).alias("strength")), F.desc("strength"), "piece")
+    old = out.where(F.col("nth") <= most).select("nth", F.col("token_id").alias("remove_id"), F.col("piece").alias("remove_piece"))
+    return old.join(best.select("nth", F.col("piece").alias("add_piece")), "nth").withColumnRenamed("nth", "place")

@@ -172,7 +172,7 @@ def subword_score(t: Column) -> tuple[Column, Column]:
     low, n = F.lower(t), F.char_length(t)
     vowels = F.char_length(F.regexp_replace(low, "[^aeiou]+", "")) / F.char_length(F.regexp_replace(low, r"[^\p{L}]+", ""))
     prefix = n.between(4, 9) & (low.isin(PREFIX_STEMS) | (~_any_of(low.startswith, BAD_STARTS) & ~F.substring(low, 1, 1).isin("h", "v") & (vowels >= 0.20)))
-    never = F.when(n == 0, "empty").when(~t.rlike("^[A-Za-z]+$"), "non_alpha").when(n < 4, "too_short").when(low.isin(BAD_FRAGMENTS), "explicit_bad_fragment")
+    never = F.when(n == 0, "empty").when(~t.rlike("^[A-Za-z]+(?:'[A-Za-z]+)?$"), "non_alpha").when(n < 4, "too_short").when(low.isin(BAD_FRAGMENTS), "explicit_bad_fragment")
     rules = [
         (low.isin(FULL_WORDS), 7, "full_word_allowlist"),
         (low.isin(PREFIX_STEMS), 6, "good_prefix_stem_allowlist"),
@@ -199,6 +199,8 @@ def action(score: Column) -> Column:
 def first_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
     """rows(ord, ids, norm): a row is kept unless its ids or its norm belong to an earlier kept row.
 
+    Null ids belong to no other row, an empty or null norm to none.
+
     A row turned away for its ids does not claim its norm, so two rounds of dropping duplicates
     would be wrong. Rows that are first in both keys are kept for good, rows that share a key with
     an earlier kept row are out for good; what is left is settled in further rounds, each of which
@@ -206,15 +208,15 @@ def first_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
     """
     from lexmill.cluster import keep
 
-    rows = keep(rows.select(F.col(order).alias("ord"), F.to_json(F.struct("ids")).alias("k1"), F.coalesce("norm", F.lit("")).alias("k2")), "first-wins")
+    rows = keep(rows.select(F.col(order).alias("ord"), F.coalesce(F.to_json("ids"), F.concat(F.lit("none "), F.col(order))).alias("k1"), F.when(F.coalesce("norm", F.lit("")) == "", F.concat(F.lit(" "), F.col(order))).otherwise(F.col("norm")).alias("k2")), "first-wins")
     kept, open_ = None, rows
     while True:
         ranked = open_.withColumns({"f1": F.min("ord").over(Window.partitionBy("k1")), "f2": F.min("ord").over(Window.partitionBy("k2"))})
-        ranked = ranked.withColumn("first", (F.col("f1") == F.col("ord")) & ((F.col("k2") == "") | (F.col("f2") == F.col("ord"))))
+        ranked = ranked.withColumn("first", (F.col("f1") == F.col("ord")) & (F.col("f2") == F.col("ord")))
         ranked = keep(ranked, "first-wins")
         new = ranked.where("first").select("ord", "k1", "k2")
         kept = new if kept is None else keep(kept.unionByName(new), "first-wins")
-        claimed1, claimed2 = new.select("k1"), new.where("k2 <> ''").select("k2")
+        claimed1, claimed2 = new.select("k1"), new.select("k2")
         open_ = keep(ranked.where("not first").select("ord", "k1", "k2").join(claimed1, "k1", "left_anti").join(claimed2, "k2", "left_anti"), "first-wins")
         if open_.isEmpty():
             return kept.select("ord")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.cluster import running_total
+from lexmill.cluster import keep, running_total
+from lexmill.functions.metrics import METRICS, text_metrics
 from lexmill.operators.evaluation import r6
 
 
@@ -40,31 +41,42 @@ def z_scores(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with z_<column>: distance from the mean in population deviations; 0 where the deviation is 0 or unknown."""
     facts = rows.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
     wide = rows.join(F.broadcast(facts))
-    z = {f"z_{c}": F.coalesce(F.when(F.col(f"sd_{c}") > 0, (F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}")), F.lit(0.0)) for c in columns}
+    z = {f"z_{c}": F.coalesce(F.when(F.col(f"sd_{c}") > 1e-12, (F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}")), F.lit(0.0)) for c in columns}
     return wide.withColumns(z).drop(*(f"{n}_{c}" for c in columns for n in ("mean", "sd")))
 
 
-#: Weights of the shard scores.
-DIVERSITY = {"mean_unique_word_ratio": 0.45, "mean_decoded_chars": 0.25, "unique_token_count": 0.15, "std_token": 0.15}
-NOISE = {"mean_repeated_char_hits": 0.60, "mean_punctuation_ratio": 0.40}
-CLEAN_PROSE = {"mean_ascii_ratio": 0.25, "mean_unique_word_ratio": 0.25, "mean_avg_line_length": 0.20, "mean_punctuation_ratio": -0.10}
+# Weights of the shard scores, and the measures that are ranked.
+DIVERSITY = {"mean_unique_word_ratio": 0.45, "mean_unique_words": 0.25, "unique_token_count": 0.15, "std_token": 0.15}
+NOISE = {"mean_url_hits": 0.30, "mean_html_hits": 0.30, "mean_repeated_char_hits": 0.20, "mean_non_printable_ratio": 0.10, "mean_digit_ratio": 0.10}
+CLEAN_PROSE = {"mean_ascii_ratio": 0.25, "mean_unique_word_ratio": 0.25, "mean_unique_words": 0.20, "mean_digit_ratio": -0.10, "mean_url_hits": -0.10, "mean_html_hits": -0.10}
+PRIORITY = {"score_clean_prose": 0.55, "score_diversity": 0.45, "score_noise": -0.35}
+BEST_HIGH = ["score_diversity", "score_noise", "score_clean_prose", "score_priority", "mean_unique_word_ratio", "mean_unique_words", "mean_ascii_ratio", "unique_token_count", "std_token"]
+BEST_LOW = ["mean_url_hits", "mean_html_hits", "mean_repeated_char_hits", "mean_non_printable_ratio", "mean_digit_ratio"]
 
 
-def _weighted(weights: dict[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, (F.col(f"z_{c}") * w for c, w in weights.items()))
+def _weighted(weights: dict[str, float], prefix: str = "z_") -> Column:
+    return F.round(reduce(lambda a, b: a + b, (F.col(prefix + c) * w for c, w in weights.items())), 6)
+
+
+def sample_averages(summaries: DataFrame) -> DataFrame:
+    """Per shard_name: sample_count and the means of the text measures of its sampled texts."""
+    texts = once_per_shard(summaries).select("shard_name", F.explode("sample_previews").alias("text")).where("text is not null")
+    each = text_metrics(texts, "shard_name")
+    return each.groupBy("shard_name").agg(F.count("*").alias("sample_count"), *(F.avg(c).alias(f"mean_{c}") for c in METRICS))
 
 
 def shard_scores(summaries: DataFrame) -> DataFrame:
-    """Diversity, noise, prose and priority scores of the training shards, with their ranks."""
-    m = "aggregated_metrics"
-    train = once_per_shard(summaries).where(F.col("shard_name").contains("_train_"))
-    measures = ["mean_decoded_chars", "mean_unique_word_ratio", "mean_ascii_ratio", "mean_punctuation_ratio", "mean_repeated_char_hits", "mean_avg_line_length"]
-    rows = train.select("shard_name", "std_token", F.col("unique_token_count").cast("double").alias("unique_token_count"), *(F.col(f"{m}.{c}").alias(c) for c in measures))
+    """Diversity, noise, prose and priority scores of the training shards, and the ranks of all scored measures.
+
+    The measures are those of the sampled texts; a shard without samples ranks last in them.
+    """
+    train = once_per_shard(summaries).where(F.col("shard_name").contains("_train_")).select("shard_name", "std_token", F.col("unique_token_count").cast("double").alias("unique_token_count"))
+    rows = keep(train.join(sample_averages(summaries), "shard_name", "left"), "shard-measures")  # one row per shard
     z = z_scores(rows, sorted({*DIVERSITY, *NOISE, *CLEAN_PROSE}))
-    scored = z.select("shard_name", *(F.round(_weighted(w), 6).alias(n) for n, w in (("score_diversity", DIVERSITY), ("score_noise", NOISE), ("score_clean_prose", CLEAN_PROSE))))
-    priority = F.round(F.col("score_clean_prose") * 0.55 + F.col("score_diversity") * 0.45 - F.col("score_noise") * 0.35, 6)
-    ranked = scored.withColumn("score_priority", priority)
-    return ranked.withColumns({f"rank_{c}": F.rank().over(Window.orderBy(o(f"score_{c}"))) for c, o in (("priority", F.desc), ("diversity", F.desc), ("noise", F.asc))})
+    scored = z.withColumns({"score_diversity": _weighted(DIVERSITY), "score_noise": _weighted(NOISE), "score_clean_prose": _weighted(CLEAN_PROSE)})
+    scored = scored.withColumn("score_priority", _weighted(PRIORITY, ""))
+    ranks = {f"rank_{c}_desc": F.rank().over(Window.orderBy(F.round(c, 6).desc_nulls_last())) for c in BEST_HIGH} | {f"rank_{c}_asc": F.rank().over(Window.orderBy(F.round(c, 6).asc_nulls_last())) for c in BEST_LOW}
+    return scored.withColumns(ranks).select("shard_name", *PRIORITY, "score_priority", *ranks)
 
 
 def sample_windows(stream: DataFrame, width: int = 512, samples: int = 8) -> DataFrame:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 #: Token ids are stored as unsigned 16-bit numbers; this is also the bound on what reaches the driver.
 MOST_PIECES = 65_536
 
+# Words that make a piece structural.
+STRUCTURE_WORDS = [
+    "Chapter", "Section", "Volume", "Act", "Scene", "Article", "Part", "Book", "Page", "Terms", "Conditions", "Summary", "Introduction",
+    "Appendix", "Table", "Figure", "Transcript", "Episode", "NEWS", "THE", "Text",
+]
+
 
 def is_byte_piece(piece: Column) -> Column:
     return piece.rlike("^<0x[0-9A-Fa-f]{2}>$")
@@ -96,7 +102,7 @@ def token_classes(vocab: DataFrame) -> DataFrame:
         byte.alias("is_byte"),
         (~byte & p.startswith(" ")).alias("is_space_led"),
         (~byte & F.trim(p).contains(" ")).alias("is_phrase"),
-        (~byte & (p.contains("\n") | (~p.rlike(r"[\p{L}\p{N}]")))).alias("is_structural"),
+        (~byte & (p.contains("\n") | F.arrays_overlap(F.regexp_extract_all(p, F.lit(r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*"), F.lit(0)), F.array(*map(F.lit, STRUCTURE_WORDS))))).alias("is_structural"),
     )
 
 

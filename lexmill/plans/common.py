@@ -47,3 +47,20 @@ TOKENS = rf"""{matches()},
 tok AS (SELECT doc_id, shard_name, ix, 0 AS byte_no, id, x AS piece, false AS is_byte FROM m WHERE id IS NOT NULL
   UNION ALL SELECT doc_id, shard_name, ix, b.i AS byte_no, v.id, '<0x' || substr(hex(encode(x)), 2 * b.i + 1, 2) || '>' AS piece, true AS is_byte
   FROM m, unnest(range(octet_length(encode(x)))) AS b(i) JOIN vocab v ON upper(v.piece) = '<0X' || substr(hex(encode(x)), 2 * b.i + 1, 2) || '>' WHERE m.id IS NULL)"""
+
+
+_WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def metrics_sql(key: str) -> str:
+    """CTEs over t(key, t): `measured` holds the figures of each text."""
+    kept = lambda c: f"length(regexp_replace(t, '[^{c}]+', '', 'g'))"
+    part = lambda c: f"CASE WHEN n > 0 THEN round({c} / n, 6) ELSE 0.0 END"
+    odd = r"length(regexp_replace(regexp_replace(t, '[^\p{C}\p{Z}]+', '', 'g'), '[" + _WS + "]+', '', 'g'))"
+    unique = "len(list_distinct(list_transform(w, lambda x: lower(x))))"
+    return rf"""cut AS (SELECT {key}, t, length(t) AS n, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') AS w, string_split(t, '') AS c, list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_WS}]')) AS l FROM t),
+measured AS (SELECT {key}, n::INT AS decoded_chars, len(w)::INT AS decoded_words, {unique}::INT AS unique_words, CASE WHEN len(w) > 0 THEN round({unique} / len(w), 6) ELSE 0.0 END AS unique_word_ratio,
+  {part(kept(r"\x00-\x7f"))} AS ascii_ratio, {part(kept(_WS))} AS whitespace_ratio, {part(kept(r"\p{Nd}"))} AS digit_ratio, {part("(n - " + kept(r"\p{L}\p{N}" + _WS) + ")")} AS punctuation_ratio, {part(odd)} AS non_printable_ratio,
+  len(regexp_extract_all(t, '(?i)https?://|www\.'))::INT AS url_hits, len(regexp_extract_all(t, '<[^>]+>'))::INT AS html_hits,
+  len(list_filter(range(1, n + 1), lambda i: c[i] <> chr(10) AND (i = 1 OR c[i - 1] <> c[i]) AND c[i + 1] = c[i] AND c[i + 2] = c[i] AND c[i + 3] = c[i] AND c[i + 4] = c[i]))::INT AS repeated_char_hits,
+  len(l)::INT AS line_count, CASE WHEN len(l) > 0 THEN round(list_sum(list_transform(l, lambda x: length(x))) / len(l), 6) ELSE 0.0 END AS avg_line_length FROM cut)"""

@@ -24,7 +24,9 @@ _W = r"[A-Za-z]+(?:[’''][A-Za-z]+)?"
 _NORM = f"trim(regexp_replace(translate(replace(replace(text, chr(160), ' '), '…', '...'), '’‘', ''''''), '{_WS}+', ' ', 'g'))"
 _SHARES = r"""length(regexp_replace(t, '[^\p{Nd}]+', '', 'g')) / length(t) AS digits, (length(t) - length(regexp_replace(t, '[^\p{L}\p{N}\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+', '', 'g'))) / length(t) AS puncts,
   length(regexp_replace(t, '[^\p{L}]+', '', 'g')) / length(t) AS alphas, len(regexp_extract_all(t, '[A-Za-z]+')) AS n, lower(t) AS low"""
-_TEXTS = "SELECT cand_id, text FROM merge_candidates_final_v1 WHERE text IS NOT NULL"
+#: Candidates from their columns, or from the raw record where there is one.
+_READ = """SELECT cand_id, coalesce(try_cast(record AS JSON)->>'$.text', text) AS text, coalesce(try_cast(try_cast(record AS JSON)->>'$.freq' AS BIGINT), freq) AS freq, coalesce(try_cast(record AS JSON)->>'$.class', class) AS class FROM merge_candidates_final_v1"""
+_TEXTS = f"SELECT cand_id, text FROM ({_READ}) WHERE text IS NOT NULL"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -67,12 +69,12 @@ def candidate_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P = _in(cu.PREFIX_STEMS)
-_SCORED = f"""SELECT *, CASE WHEN length(t) = 0 OR NOT regexp_matches(t, '^[A-Za-z]+$') OR length(t) < 4 OR low IN {_in(cu.BAD_FRAGMENTS)} THEN -999 ELSE
-  CASE WHEN low IN {_in(cu.FULL_WORDS)} THEN 7 ELSE 0 END + CASE WHEN low IN {_P} THEN 6 ELSE 0 END + CASE WHEN low IN {_in(cu.SUFFIX_STEMS)} THEN 3 ELSE 0 END + 2 + CASE WHEN v BETWEEN 0.22 AND 0.62 THEN 2 ELSE 0 END + CASE WHEN length(t) >= 6 THEN 1 ELSE 0 END
+_SCORED = f"""SELECT *, CASE WHEN length(t) = 0 OR NOT regexp_matches(t, '^[A-Za-z]+(?:''[A-Za-z]+)?$') OR length(t) < 4 OR low IN {_in(cu.BAD_FRAGMENTS)} THEN -999 ELSE
+  CASE WHEN low IN {_in(cu.FULL_WORDS)} THEN 7 ELSE 0 END + CASE WHEN low IN {_P} THEN 6 ELSE 0 END + CASE WHEN low IN {_in(cu.SUFFIX_STEMS)} THEN 3 ELSE 0 END + CASE WHEN length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) / length(t) >= 0.98 THEN 2 ELSE 0 END + CASE WHEN v BETWEEN 0.22 AND 0.62 THEN 2 ELSE 0 END + CASE WHEN length(t) >= 6 THEN 1 ELSE 0 END
   + CASE WHEN length(t) BETWEEN 4 AND 9 AND (low IN {_P} OR (NOT {_or("low", "{}%", cu.BAD_STARTS)} AND substr(low, 1, 1) NOT IN ('h', 'v') AND v >= 0.2)) THEN 3 ELSE 0 END + CASE WHEN {_or("low", "%{}", cu.SUFFIX_STEMS)} THEN 1 ELSE 0 END
   - CASE WHEN {_or("low", "{}%", cu.BAD_STARTS)} THEN 5 ELSE 0 END - CASE WHEN {_or("low", "%{}", cu.BAD_ENDS)} THEN 4 ELSE 0 END - CASE WHEN {_or("low", "%{}", cu.TAILS)} AND low NOT IN {_in(cu.SUFFIX_STEMS)} THEN 2 ELSE 0 END
   - CASE WHEN length(t) BETWEEN 4 AND 5 AND low NOT IN {_in(cu.FULL_WORDS + cu.PREFIX_STEMS + cu.SUFFIX_STEMS)} THEN 1 ELSE 0 END END AS score
-FROM (SELECT cand_id, t, lower(t) AS low, length(regexp_replace(lower(t), '[^aeiou]+', '', 'g')) / length(t) AS v FROM (SELECT cand_id, {_NORM} AS t FROM ({_TEXTS})))"""
+FROM (SELECT cand_id, t, lower(t) AS low, length(regexp_replace(lower(t), '[^aeiou]+', '', 'g')) / length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS v FROM (SELECT cand_id, {_NORM} AS t FROM ({_TEXTS})))"""
 
 
 @query("subword_scores", f"SELECT cand_id, score, CASE WHEN score >= 7 THEN 'keep' WHEN score >= 4 THEN 'review_keep' ELSE 'drop' END AS action FROM ({_SCORED})")
@@ -97,8 +99,8 @@ def candidate_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 _CLASSES = ["keep_short_phrase", "keep_long_phrase"]
 _FORCED = f"""SELECT text, 'PHRASE_' || regexp_replace(regexp_replace(upper(text), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS placeholder, freq, class FROM (
-  SELECT trim(regexp_replace(text, '{_WS}+', ' ', 'g')) AS text, coalesce(freq, 0) AS freq, class FROM merge_candidates_final_v1 WHERE class IN {_in(_CLASSES)} AND text IS NOT NULL)
-  WHERE length(text) >= 4 QUALIFY row_number() OVER (PARTITION BY text ORDER BY freq DESC, class) = 1 ORDER BY freq DESC, text LIMIT 300"""
+  SELECT trim(regexp_replace(text, '{_WS}+', ' ', 'g')) AS text, coalesce(freq, 0) AS freq, class FROM ({_READ}) WHERE class IN {_in(_CLASSES)} AND text IS NOT NULL)
+  WHERE length(text) >= 4 QUALIFY row_number() OVER (PARTITION BY text ORDER BY freq DESC, class) = 1"""
 
 
 @query("forced_phrases", _FORCED)
@@ -106,12 +108,21 @@ def forced_phrases(spark: SparkSession, d: str) -> DataFrame:
     return cu.forced_phrases(candidates_of(spark, d), _CLASSES)
 
 
-@query("boost_corpus", f"SELECT text, unnest(range(1, 81))::INT AS copy FROM ({_FORCED})")
+@query("boost_corpus")
 def boost_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The boosted terms with forced phrases substituted, 80 times each; tested on small tables."""
     return cu.boost_corpus(cu.boost_terms(candidates_of(spark, d)), _marks(spark, d))
 
 
-@query("boost_terms")
+_BOOST = ["keep_full_word", "keep_contraction", "keep_allowlist", "keep_phrase", "keep_short_phrase"]
+
+
+@query(
+    "boost_terms",
+    f"""WITH b AS (SELECT cand_id, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text, coalesce(freq, 0) AS freq, class FROM ({_READ}) WHERE text IS NOT NULL AND class IN {_in(_BOOST + ["keep_subword", "curated_subword_auto_v2"])}),
+s AS (SELECT cand_id FROM ({_SCORED}) WHERE score >= 10)
+SELECT text, freq, class FROM (SELECT * FROM b WHERE length(text) >= 2 AND NOT contains(text, '  ') AND (length(text) >= 4 OR contains(text, ' ')) AND (class IN {_in(_BOOST)} OR cand_id IN (SELECT cand_id FROM s)) QUALIFY row_number() OVER (PARTITION BY text ORDER BY freq DESC, cand_id) = 1) ORDER BY freq DESC, cand_id LIMIT 300""",
+)
 def boost_terms(spark: SparkSession, d: str) -> DataFrame:
     return cu.boost_terms(candidates_of(spark, d))
 

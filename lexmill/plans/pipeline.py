@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from lexmill.catalog import query
 from lexmill.cluster import keep, shared_dir, table
-from lexmill.operators import refine
 from lexmill.operators import shards as sh
 from lexmill.operators.segmentation import encoded
 from lexmill.operators.tokens import greedy_counts, token_arrays
-from lexmill.plans.common import TOKENS, counts, docs_of
+from lexmill.plans.common import TOKENS, counts, docs_of, metrics_sql
 from lexmill.plans.mining import stream
 from lexmill.sources import token_shards
 
@@ -33,21 +32,33 @@ def shard_top_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sh.top_tokens(_shard_counts(spark, d))
 
 
-def _z(column: str) -> str:
-    return f"coalesce(CASE WHEN stddev_pop({column}) OVER () > 0 THEN ({column} - avg({column}) OVER ()) / stddev_pop({column}) OVER () END, 0)"
+_ONCE = "o AS (SELECT * FROM shard_summaries QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY loaded_at NULLS LAST) = 1)"
+_SHOWN = ("decoded_chars", "unique_words", "unique_word_ratio", "ascii_ratio", "digit_ratio", "punctuation_ratio", "non_printable_ratio", "url_hits", "html_hits", "repeated_char_hits", "avg_line_length")
+_SAMPLED = f"{_ONCE}, each AS (SELECT shard_name, unnest(sample_previews) AS text FROM o), t AS (SELECT shard_name, text AS t FROM each WHERE text IS NOT NULL), {metrics_sql('shard_name')}, sm AS (SELECT shard_name, count(*) AS sample_count, {', '.join(f'avg({c}) AS mean_{c}' for c in _SHOWN)} FROM measured GROUP BY shard_name)"
 
 
-def _score(weights: dict[str, float]) -> str:
-    return "round(" + " + ".join(f"{_z(c)} * {w}::DOUBLE" for c, w in weights.items()) + ", 6)"
+@query("shard_metrics", f"WITH {_SAMPLED} SELECT shard_name, sample_count, {', '.join(f'round(mean_{c}, 6) AS mean_{c}' for c in _SHOWN)} FROM sm")
+def shard_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of the sampled texts of each shard, computed anew and averaged."""
+    return sh.sample_averages(table(spark, d, "shard_summaries")).select("shard_name", "sample_count", *(F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in _SHOWN))
+
+
+def _z(c: str) -> str:
+    return f"coalesce(CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 0)"
 
 
 @query(
     "shard_scores",
-    f"""WITH o AS (SELECT * FROM shard_summaries QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY loaded_at NULLS LAST) = 1),
-r AS (SELECT shard_name, std_token, unique_token_count::DOUBLE AS unique_token_count, unnest(aggregated_metrics) FROM o WHERE contains(shard_name, '_train_')),
-s AS (SELECT shard_name, {_score(sh.DIVERSITY)} AS score_diversity, {_score(sh.NOISE)} AS score_noise, {_score(sh.CLEAN_PROSE)} AS score_clean_prose FROM r),
+    f"""WITH {_SAMPLED}, r AS (SELECT o.shard_name, std_token, unique_token_count::DOUBLE AS unique_token_count, sm.* EXCLUDE (shard_name) FROM o LEFT JOIN sm USING (shard_name) WHERE contains(o.shard_name, '_train_')),
+s AS (SELECT *, round({_z("mean_unique_word_ratio")} * 0.45::DOUBLE + {_z("mean_unique_words")} * 0.25::DOUBLE + {_z("unique_token_count")} * 0.15::DOUBLE + {_z("std_token")} * 0.15::DOUBLE, 6) AS score_diversity,
+  round({_z("mean_url_hits")} * 0.30::DOUBLE + {_z("mean_html_hits")} * 0.30::DOUBLE + {_z("mean_repeated_char_hits")} * 0.20::DOUBLE + {_z("mean_non_printable_ratio")} * 0.10::DOUBLE + {_z("mean_digit_ratio")} * 0.10::DOUBLE, 6) AS score_noise,
+  round({_z("mean_ascii_ratio")} * 0.25::DOUBLE + {_z("mean_unique_word_ratio")} * 0.25::DOUBLE + {_z("mean_unique_words")} * 0.20::DOUBLE - {_z("mean_digit_ratio")} * 0.10::DOUBLE - {_z("mean_url_hits")} * 0.10::DOUBLE - {_z("mean_html_hits")} * 0.10::DOUBLE, 6) AS score_clean_prose FROM r),
 p AS (SELECT *, round(score_clean_prose * 0.55::DOUBLE + score_diversity * 0.45::DOUBLE - score_noise * 0.35::DOUBLE, 6) AS score_priority FROM s)
-SELECT *, rank() OVER (ORDER BY score_priority DESC) AS rank_priority, rank() OVER (ORDER BY score_diversity DESC) AS rank_diversity, rank() OVER (ORDER BY score_noise) AS rank_noise FROM p""",
+SELECT shard_name, score_diversity, score_noise, score_clean_prose, score_priority, """
+    + ", ".join(f"rank() OVER (ORDER BY round({c}, 6) DESC NULLS LAST)::INT AS rank_{c}_desc" for c in ("score_diversity", "score_noise", "score_clean_prose", "score_priority", "mean_unique_word_ratio", "mean_unique_words", "mean_ascii_ratio", "unique_token_count", "std_token"))
+    + ", "
+    + ", ".join(f"rank() OVER (ORDER BY round({c}, 6) NULLS LAST)::INT AS rank_{c}_asc" for c in ("mean_url_hits", "mean_html_hits", "mean_repeated_char_hits", "mean_non_printable_ratio", "mean_digit_ratio"))
+    + " FROM p",
 )
 def shard_scores(spark: SparkSession, d: str) -> DataFrame:
     return sh.shard_scores(table(spark, d, "shard_summaries"))
@@ -140,18 +151,3 @@ SELECT run, (row_number() OVER (ORDER BY val_bpb NULLS LAST, run))::INT AS place
 )
 def run_log_summary(spark: SparkSession, d: str) -> DataFrame:
     return sh.run_summaries(spark.createDataFrame(_LOG, "run string, line_no int, line string"))
-
-
-@query("worst_doc_candidates")
-def worst_doc_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces that would shorten the documents in which greedy segmentation does worst."""
-    docs = docs_of(spark, d).where("text is not null and text <> ''")
-    vocab = table(spark, d, "vocab")
-    counts_ = greedy_counts(docs, vocab)
-    worst = counts_.withColumn("delta", F.col("fallback_tokens")).where("delta > 0").orderBy(F.desc("delta"), "doc_id").limit(300).select("doc_id", "delta")
-    return refine.scored_candidates(keep(docs.join(F.broadcast(worst), "doc_id").select("doc_id", "text", "delta"), "worst"), vocab, candidates=refine.all_candidates)
-
-
-@query("removal_candidates", r"SELECT id, piece, (100 - 4 * length(piece) - coalesce(priority, 0) / 1000)::DOUBLE AS score FROM vocab WHERE NOT regexp_matches(piece, '^<0x[0-9A-Fa-f]{2}>$') AND NOT contains(piece, chr(10)) AND length(piece) > 2 AND NOT coalesce(pinned, false) AND NOT regexp_matches(trim(piece), '^[\p{L}]{1,4}$')")
-def removal_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return refine.removal_candidates(table(spark, d, "vocab"))

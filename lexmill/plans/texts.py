@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lexmill.catalog import query
 from lexmill.cluster import keep, table
 from lexmill.functions import lines as ln
+from lexmill.functions.metrics import text_metrics
 from lexmill.operators import building, inspection
 from lexmill.operators import curation as cu
-from lexmill.operators import evaluation as ev
 from lexmill.operators import tokens as tk
-from lexmill.plans.common import candidates_of, counts, docs_of, matches, variant
+from lexmill.plans.common import candidates_of, counts, docs_of, matches, metrics_sql, variant
 from lexmill.plans.vocabularies import _build, built
 
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -59,7 +59,7 @@ def mined_additions(spark: SparkSession, d: str) -> DataFrame:
     return ln.mined_additions(docs_of(spark, d), table(spark, d, "vocab"))
 
 
-_LINE_DOCS = "ld AS (SELECT doc_id * 100000 + line_no AS doc_id, '' AS shard_name, line AS text FROM l)"
+_LINE_DOCS = "ld AS (SELECT {'d': doc_id, 'n': line_no} AS doc_id, '' AS shard_name, line AS text FROM l)"
 
 
 @query(
@@ -70,7 +70,7 @@ SELECT CASE WHEN b.n < a.n THEN 'improved' WHEN b.n > a.n THEN 'worse' ELSE 'sam
 )
 def line_head_to_head(spark: SparkSession, d: str) -> DataFrame:
     """Lines that one vocabulary segments better than another, over all lines."""
-    rows = ln.line_rows(docs_of(spark, d)).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("doc_id"), F.col("line").alias("text"))
+    rows = ln.line_rows(docs_of(spark, d)).select(F.struct("doc_id", "line_no").alias("doc_id"), F.col("line").alias("text"))
     a = tk.greedy_counts(rows, variant(spark, d, "short")).select("doc_id", F.col("n_tokens").alias("base_tokens"))
     both = a.join(tk.greedy_counts(rows, variant(spark, d, "full")).select("doc_id", F.col("n_tokens").alias("custom_tokens")), "doc_id")
     outcome = F.when(F.col("custom_tokens") < F.col("base_tokens"), "improved").when(F.col("custom_tokens") > F.col("base_tokens"), "worse").otherwise("same")
@@ -102,31 +102,37 @@ def vocabulary_changes(spark: SparkSession, d: str) -> DataFrame:
     return inspection.vocabulary_changes(table(spark, d, "vocab"), keep(built(spark, d, (500, 60, 120)), "built"))
 
 
-@query("protected_pieces", r"""SELECT id, piece, regexp_matches(piece, '^<0x[0-9A-Fa-f]{2}>$') OR regexp_matches(trim(piece), '^[\p{L}\p{N}]?$') OR NOT regexp_matches(piece, '[\p{L}\p{N}]') OR regexp_matches(trim(piece), '[''’](?:s|t|m|d|ll|re|ve)$') AS protected FROM vocab""")
-def protected_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "vocab").select("id", "piece", ln.is_protected(F.col("piece")).alias("protected"))
+_EDGE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]"
+_BARE = f"regexp_replace(piece, '^{_EDGE}+|{_EDGE}+$', '', 'g')"
+_MARKS = [".", ",", ":", ";", "!", "?", "'", '"', "`", "’", "“", "”", "(", ")", "[", "]", "{", "}", "-", "–", "—", "/", "\\", "&", "%", "$", "#", "@", "*", "+", "=", "_", "|", "<", ">"]
+_ENDS = ["'s", "’s", "'t", "’t", "'re", "’re", "'ve", "’ve", "'ll", "’ll", "'m", "’m", "'d", "’d", " s", " t", " re", " ve", " ll", " m", " d", "’", "'"]
+_listed = lambda values: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+_PROT = f"((starts_with(piece, '<0x') AND ends_with(piece, '>')) OR {_BARE} IN {_listed(_MARKS + _ENDS)} OR piece IN {_listed(_ENDS)} OR regexp_matches({_BARE}, '^[\\p{{L}}\\p{{Nd}}]$') OR (piece <> '' AND {_BARE} = ''))"
 
 
-_STATS = "SELECT * FROM token_stats WHERE source = '{0}' QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY freq DESC NULLS LAST, doc_freq DESC NULLS LAST, piece NULLS LAST) = 1"
-_PROT = r"(regexp_matches(piece, '^<0x[0-9A-Fa-f]{2}>$') OR regexp_matches(trim(piece), '^[\p{L}\p{N}]?$') OR NOT regexp_matches(piece, '[\p{L}\p{N}]') OR regexp_matches(trim(piece), '[''’](?:s|t|m|d|ll|re|ve)$'))"
+@query("protected_pieces", f"SELECT id, piece, {_PROT} AS protected FROM vocab")
+def protected_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "vocab").select("id", "piece", ln.is_protected(F.col("piece")).alias("protected"))
 
 
 @query(
     "safe_swaps",
-    f"""WITH r AS (SELECT token_id, piece, row_number() OVER (ORDER BY coalesce(freq, 0) + 20 * coalesce(doc_freq, 0), token_id) AS place FROM ({_STATS.format("custom")}) WHERE coalesce(in_sp, 0) <> 1 AND piece IS NOT NULL AND NOT {_PROT}),
-a AS (SELECT token_id, piece, row_number() OVER (ORDER BY round(sqrt(coalesce(freq, 0)) + 2 * sqrt(coalesce(doc_freq, 0)), 6) DESC, token_id) AS place FROM ({_STATS.format("sp")}) WHERE coalesce(in_custom, 0) <> 1 AND coalesce(freq, 0) >= 100 AND coalesce(doc_freq, 0) >= 20 AND piece IS NOT NULL AND NOT {_PROT})
-SELECT place, r.token_id AS remove_id, r.piece AS remove_piece, a.token_id AS add_id, a.piece AS add_piece FROM r JOIN a USING (place) WHERE place <= 100""",
+    f"""WITH st AS (SELECT * FROM token_stats QUALIFY row_number() OVER (PARTITION BY source, token_id ORDER BY freq DESC NULLS LAST, doc_freq DESC NULLS LAST, piece NULLS LAST) = 1),
+r AS (SELECT token_id, piece, row_number() OVER (ORDER BY round(coalesce(freq, 0) + 2.0::DOUBLE * coalesce(doc_freq, 0) + 0.5::DOUBLE * coalesce(context_diversity, 0) + 5.0::DOUBLE * greatest(0, coalesce(compression_credit, 0)), 6), token_id) AS place FROM st WHERE source = 'sp' AND token_id NOT IN (0, 1, 2, 3) AND piece IS NOT NULL AND NOT {_PROT}),
+a AS (SELECT piece, max(round(2.0::DOUBLE * sqrt(coalesce(freq, 0)) + 3.0::DOUBLE * sqrt(coalesce(doc_freq, 0)) + sqrt(coalesce(context_diversity, 0)) + 4.0::DOUBLE * greatest(0, coalesce(compression_credit, 0)) + CASE WHEN starts_with(piece, ' ') THEN 1 ELSE 0 END + CASE WHEN length({_BARE}) >= 2 THEN 0.5::DOUBLE ELSE 0 END, 6)) AS add_score
+  FROM st WHERE piece IS NOT NULL AND coalesce(in_sp, 0) <> 1 AND in_custom = 1 AND coalesce(freq, 0) >= 20 AND coalesce(doc_freq, 0) >= 5 AND NOT {_PROT} AND piece NOT IN (SELECT piece FROM st WHERE source = 'sp' AND piece IS NOT NULL) GROUP BY piece),
+n AS (SELECT piece, row_number() OVER (ORDER BY add_score DESC, piece) AS place FROM a)
+SELECT r.place::INT AS place, r.token_id AS remove_id, r.piece AS remove_piece, n.piece AS add_piece FROM r JOIN n USING (place) WHERE r.place <= 10""",
 )
 def safe_swaps(spark: SparkSession, d: str) -> DataFrame:
-    """The least kept custom-only pieces against the best reference-only ones, protected pieces left alone."""
-    stats = table(spark, d, "token_stats")
-    c = lambda n: F.coalesce(F.col(n), F.lit(0))
-    free = F.col("piece").isNotNull() & ~ln.is_protected(F.col("piece"))
-    out = ev._first_stats(stats, "custom").where(free & (c("in_sp") != 1)).withColumn("keep", c("freq") + 20 * c("doc_freq"))
-    new = ev._first_stats(stats, "sp").where(free & (c("in_custom") != 1) & (c("freq") >= 100) & (c("doc_freq") >= 20)).withColumn("add", F.round(F.sqrt(c("freq")) + 2 * F.sqrt(c("doc_freq")), 6))
-    r = building._numbered(out, "keep", "token_id").where("nth <= 100").select(F.col("nth").alias("place"), F.col("token_id").alias("remove_id"), F.col("piece").alias("remove_piece"))
-    a = building._numbered(new, F.desc("add"), "token_id").select(F.col("nth").alias("place"), F.col("token_id").alias("add_id"), F.col("piece").alias("add_piece"))
-    return r.join(a, "place")
+    """The base's pieces that are missed least against the strongest pieces of the other vocabulary, protected ones left alone."""
+    return building.safe_swaps(table(spark, d, "token_stats"), 10, 20, 5)
+
+
+@query("text_metrics", f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {metrics_sql('doc_id')} SELECT * FROM measured")
+def every_text_metric(spark: SparkSession, d: str) -> DataFrame:
+    """The recorded figures of a text, computed anew from every whole text."""
+    return text_metrics(docs_of(spark, d), "doc_id")
 
 
 @query("mode_totals")

@@ -57,7 +57,7 @@ def bigram_buckets(spark: SparkSession, d: str) -> DataFrame:
     return tk.bigram_buckets(tk.token_arrays(docs_of(spark, d), table(spark, d, "vocab")))
 
 
-@query("token_class_masks", f"SELECT id, piece, {_BYTE} AS is_byte, NOT {_BYTE} AND piece LIKE ' %' AS is_space_led, NOT {_BYTE} AND contains(trim(piece), ' ') AS is_phrase, NOT {_BYTE} AND (contains(piece, chr(10)) OR NOT regexp_matches(piece, '[\\p{{L}}\\p{{N}}]')) AS is_structural FROM vocab")
+@query("token_class_masks", f"SELECT id, piece, {_BYTE} AS is_byte, NOT {_BYTE} AND piece LIKE ' %' AS is_space_led, NOT {_BYTE} AND contains(trim(piece), ' ') AS is_phrase, NOT {_BYTE} AND (contains(piece, chr(10)) OR len(list_filter(regexp_extract_all(piece, '[A-Za-z0-9]+(?:[''’\\-][A-Za-z0-9]+)*'), lambda x: x IN ('Chapter','Section','Volume','Act','Scene','Article','Part','Book','Page','Terms','Conditions','Summary','Introduction','Appendix','Table','Figure','Transcript','Episode','NEWS','THE','Text'))) > 0) AS is_structural FROM vocab")
 def token_class_masks(spark: SparkSession, d: str) -> DataFrame:
     return vo.token_classes(table(spark, d, "vocab"))
 

@@ -72,3 +72,18 @@ def test_forced_phrases_have_no_cap_and_boost_terms_their_own(spark, tmp_path):
     assert corpus.count() == 300 * 80 and corpus.where("text = 'PHRASE_SO_RED'").count() == 80 and corpus.where("text = 'so red'").count() == 0
     lines = QUERIES["training_corpus"](spark, d)
     assert lines.count() == 300 * 80 + 2 and lines.where("text in ('PHRASE_FILLER_PHRASE_349', 'and PHRASE_SO_RED.')").count() == 2
+
+
+def test_null_ids_and_empty_norms_stand_for_themselves(spark):
+    from lexmill.operators.curation import first_wins
+
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, [1], ""), (4, [2], None), (5, [1], "c"), (6, [3], "a")], "ord bigint, ids array<int>, norm string")
+    assert sorted(r.ord for r in first_wins(rows).collect()) == [1, 2, 3, 4]
+
+
+def test_one_apostrophe_is_no_bar_to_a_subword(spark):
+    from lexmill.operators.curation import subword_score
+
+    rows = spark.createDataFrame([("don't",), ("o'clock",), ("a'b'c",), ("x-ray",)], "t string")
+    got = {r.t: r.s for r in rows.select("t", subword_score(F.col("t"))[0].alias("s")).collect()}
+    assert got["a'b'c"] == got["x-ray"] == -999 and got["don't"] > -999 and got["o'clock"] > -999

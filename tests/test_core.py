@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import cluster
-from lexmill.operators import building, curation, evaluation, mining, refine, segmentation, shards, tokens, vocabulary
+from lexmill.operators import building, curation, evaluation, mining, segmentation, shards, tokens, vocabulary
 from lexmill.sources import readers, token_shards
 
 BYTES = [(i, f"<0x{i:02X}>") for i in range(256)]
@@ -108,7 +108,8 @@ def test_greedy_merges_equal_a_sequential_pass(spark):
     rnd = random.Random(7)
     stream = [(s, d, k, 0, rnd.randrange(3)) for s in "xy" for d in range(3) for k in range(60)]
     cand = [[0, 1, 0], [1, 1, 1], [0, 0, 1]]
-    df = spark.createDataFrame(stream, "scope string, doc_id bigint, at int, byte_no int, id int")
+    arrays = spark.createDataFrame([(s, d, [r[4] for r in stream if r[:2] == (s, d)]) for s in "xy" for d in range(3)] + [("x", 9, []), ("z", 1, [])], "shard_name string, doc_id bigint, ids array<int>")
+    df = mining.linked(arrays, "shard_name")
     candidates = spark.createDataFrame([(c, 5) for c in cand] + [(None, 1), ([1, 2], 3)], "ids array<int>, freq bigint")
     got = {r.scope: (r.tokens, r.merges) for r in mining.greedy_merges(df, candidates).collect()}
     for s in "xy":
@@ -121,6 +122,17 @@ def test_greedy_merges_equal_a_sequential_pass(spark):
         assert got[s] == (len(ids), n)
 
 
+def test_grams_run_over_documents_not_over_streams(spark):
+    arrays = spark.createDataFrame([("x", 1, [1, 2]), ("x", 2, [3]), ("x", 3, []), ("x", 4, [1, 2, 3]), ("y", 5, [1, 2]), (None, 6, [7])], "shard_name string, doc_id bigint, ids array<int>")
+    stream = mining.linked(arrays, "shard_name")
+    two = {r.gram: (r.freq, r.shard_count, r.before_contexts, r.after_contexts) for r in mining.gram_counts(stream, 2).collect()}
+    assert two == {"1 2": (3, 2, 1, 1), "2 3": (2, 1, 1, 1), "3 1": (1, 1, 1, 1)}
+    three = {r.gram: r.freq for r in mining.gram_counts(stream, 3, 2).collect()}
+    assert three == {"1 2 3": 2}
+    alone = {r.gram: r.freq for r in mining.gram_counts(mining.linked(arrays), 2).collect()}
+    assert alone == {"1 2": 3, "2 3": 1}
+
+
 def test_first_wins_equals_a_sequential_pass(spark):
     rnd = random.Random(8)
     rows = [(i, [rnd.randrange(4), rnd.randrange(3)], rnd.choice(["a", "b", "c", "d", "e", "", None])) for i in range(60)]
@@ -239,13 +251,6 @@ def test_hot_lookup_keeps_all_rows(spark):
     assert cluster.hot_lookup(rows.limit(0), lookup.limit(0), ["k"], "n").count() == 0
 
 
-def test_worst_document_candidates(spark):
-    docs = spark.createDataFrame([(i, "Title Line Here\nthe next line goes on", 9) for i in range(4)], "doc_id bigint, text string, delta bigint")
-    vocab = spark.createDataFrame([(0, "next line")], "id int, piece string")
-    got = {r.piece: (r.doc_hits, r.raw_count) for r in refine.scored_candidates(docs, vocab).collect()}
-    assert got["\nthe next"] == (4, 8 * 3 * 4) and "next line" not in got and got["the next"] == (4, 2 * 3 * 4)
-
-
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string, shard_name string")
     vocab = spark.createDataFrame(BYTES, "id int, piece string")
