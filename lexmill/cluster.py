@@ -136,3 +136,10 @@ def hot_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], n_rows:
     warm = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, how)
     cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(lookup.where(F.col(n_rows) < limit), keys, how)
     return warm.unionByName(cold)
+
+
+def attached(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with lookup (one row per key), safe where many rows share a key; counts the rows per key first."""
+    keys = list(keys)
+    counted = lookup.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+    return hot_lookup(rows, counted, keys, "__n", how).drop("__n")
