@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.cluster import hot_lookup, keep
+from lexmill.cluster import attached, hot_lookup, keep
 from lexmill.functions.text import words
 
 #: Sets of one side under one shingle that meet those of the other side in one task.
@@ -110,11 +110,6 @@ def _candidates(shared: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(bound >= need).select("e", "t", "e_size", "t_size", "e_n", "t_n")
 
 
-def _attached(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with lookup (one row per key), safe where many rows have one key."""
-    return hot_lookup(rows, lookup.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys), keys, "__n").drop("__n")
-
-
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes, e of the evaluation side and t of the training side: e, t, e_n, t_n (their members), similarity."""
     shared = keep(shared_sets(sets, threshold), "shared")
@@ -122,8 +117,8 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     touched = pairs.select(F.col("e").alias("set_id")).unionByName(pairs.select(F.col("t").alias("set_id"))).distinct()
     # only the sets that stand in a pair; one column of numbers each
     wanted = keep(shared.join(touched, "set_id", "left_semi").select("set_id", F.transform("o", lambda x: x["g"]).alias("s")), "wanted")
-    whole = _attached(pairs, wanted.select(F.col("set_id").alias("e"), F.col("s").alias("e_s")), ["e"])
-    whole = _attached(whole, wanted.select(F.col("set_id").alias("t"), F.col("s").alias("t_s")), ["t"])
+    whole = attached(pairs, wanted.select(F.col("set_id").alias("e"), F.col("s").alias("e_s")), ["e"])
+    whole = attached(whole, wanted.select(F.col("set_id").alias("t"), F.col("s").alias("t_s")), ["t"])
     common = F.size(F.array_intersect("e_s", "t_s"))
     told = whole.withColumn("similarity", common / (F.col("e_size") + F.col("t_size") - common))
     return told.where(F.col("similarity") >= threshold - 1e-12).select("e", "t", "e_n", "t_n", "similarity")
@@ -152,7 +147,7 @@ def overlapping_pairs(shards: DataFrame) -> DataFrame:
     each = links.select("e", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks("e_n") - 1)).alias("e_block"), "t_n")
     each = each.select("e", "e_block", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks("t_n") - 1)).alias("t_block"))
     for side in ("e", "t"):
-        each = _attached(each, blocks.select(F.col("set_id").alias(side), F.col("block").alias(f"{side}_block"), F.col("keys").alias(f"{side}_keys")), [side, f"{side}_block"])
+        each = attached(each, blocks.select(F.col("set_id").alias(side), F.col("block").alias(f"{side}_block"), F.col("keys").alias(f"{side}_keys")), [side, f"{side}_block"])
     pairs = each.select(F.explode("e_keys").alias("e_key"), "t_keys").select("e_key", F.explode("t_keys").alias("t_key"))
     return pairs.select(F.least("e_key", "t_key").alias("preview_a"), F.greatest("e_key", "t_key").alias("preview_b"))
 

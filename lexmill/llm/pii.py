@@ -1,8 +1,8 @@
 """Personal details in free text, found by bootstrapped contextual extraction (problem 8).
 
 One pass over the texts gives mentions that are certain by their shape and candidates that are not
-(a name among capitalised words, ten plain digits, an unlabelled number), each with the lexical
-contexts around it. Seeds (certain mentions, and the name lexicon) give contexts a score, contexts
+(a name among capitalised words, plain or oddly grouped digits, an unlabelled number, a number beside
+capitalised words), each with the lexical contexts around it. Seeds (certain mentions, and the name lexicon) give contexts a score, contexts
 give candidates and their words a score, and so on for ROUNDS rounds, all as aggregates and joins
 over the graph of contexts and instances. Contexts of high confidence then admit candidates that no
 list knows.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.cluster import keep
+from lexmill.cluster import attached, keep
 from lexmill.llm.pii_shapes import fold, mentions
 
 ROUNDS = 3
@@ -70,14 +70,15 @@ def _context_scores(graph: DataFrame) -> DataFrame:
 def _support(cand: DataFrame, scores: DataFrame) -> DataFrame:
     """doc_id, kind, start, stop, support: the best score among a candidate's contexts."""
     edges = cand.select("doc_id", "kind", "start", "stop", F.explode("contexts").alias("context"))
-    return edges.join(scores, ["kind", "context"]).groupBy("doc_id", "kind", "start", "stop").agg(F.max("score").alias("support"))
+    return attached(edges, scores, ["kind", "context"]).groupBy("doc_id", "kind", "start", "stop").agg(F.max("score").alias("support"))
 
 
 def _known(cand: DataFrame, words: DataFrame) -> DataFrame:
     """cand with g and f: whether its given and family part are known as such."""
-    g = words.where("role = 'given'").select(F.col("word").alias("given"), F.lit(True).alias("g"))
-    f = words.where("role = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("f"))
-    out = cand.join(g, "given", "left").join(f, "family", "left")
+    g = words.where("role = 'given'").select(F.col("word").alias("given"), F.lit(True).alias("g")).distinct()
+    f = words.where("role = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("f")).distinct()
+    initials = cand.where("given = '.'").withColumn("g", F.lit(None).cast("boolean"))  # no word of theirs could be known
+    out = attached(attached(cand.where("given <> '.'"), g, ["given"], "left").unionByName(initials), f, ["family"], "left")
     return out.withColumns({"g": F.coalesce("g", F.lit(False)), "f": F.coalesce("f", F.lit(False)), "initial": F.col("given") == "."})
 
 
@@ -100,6 +101,23 @@ def _name_rounds(names: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFra
     return words, scores
 
 
+def _number_rounds(other: DataFrame) -> DataFrame:
+    """doc_id, kind, start, stop of the uncertain numbers and addresses that contexts admit after ROUNDS rounds.
+
+    What shapes are certain of is the seed; what a round admits speaks for contexts in the next one.
+    """
+    believed = F.col("sure")
+    places = ["doc_id", "kind", "start", "stop"]
+    rows = other.where("kind <> 'email'").select(*places, "sure", "contexts")
+    admitted = None
+    for round_no in range(ROUNDS):
+        told = rows if admitted is None else rows.join(admitted.withColumn("told", F.lit(True)), places, "left").withColumn("sure", believed | F.coalesce("told", F.lit(False)))
+        graph = told.select("kind", F.explode("contexts").alias("context"), F.concat_ws(":", "doc_id", "start").alias("instance"), F.col("sure").alias("believed"))
+        scores = keep(_context_scores(graph), f"number-contexts-{round_no}")
+        admitted = keep(_support(rows.where("not sure"), scores).where(F.col("support") >= TRUST).select(*places), f"admitted-{round_no}")
+    return admitted
+
+
 def _apart(rows: DataFrame) -> DataFrame:
     """Drops mentions that overlap a stronger neighbour, then those that overlap an earlier or longer one."""
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"), "pii_kind")
@@ -124,10 +142,7 @@ def found_mentions(docs: DataFrame, lexicon: DataFrame, common: DataFrame) -> Da
     strength = F.when(F.col("f") & F.col("g"), 3).when(F.col("f") & F.col("initial"), 2).otherwise(1)
     good_names = supported.where(believed).select("doc_id", "kind", "start", "stop", strength.alias("strength"))
     other = cand.where("kind <> 'name'")
-    doubtful = other.where("not sure")
-    instance = F.concat_ws(":", "doc_id", "start")
-    graph = other.where("kind in ('phone', 'id_number')").select("kind", F.explode("contexts").alias("context"), instance.alias("instance"), F.col("sure").alias("believed"))
-    admitted = _support(doubtful, _context_scores(graph)).where(F.col("support") >= TRUST)
+    admitted = _number_rounds(other)
     rest = other.where("sure").unionByName(admitted, allowMissingColumns=True).select("doc_id", "kind", "start", "stop", F.lit(4).alias("strength"))
     return _apart(good_names.unionByName(rest).withColumnRenamed("kind", "pii_kind").distinct()).select("doc_id", "pii_kind", F.col("start").alias("start_char"), F.col("stop").alias("stop_char"))
 

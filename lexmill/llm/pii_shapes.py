@@ -8,6 +8,7 @@ learned from the whole corpus in lexmill.llm.pii.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 
 Mention = tuple[str, int, int, bool, str | None, str | None, bool, list[str]]
 
@@ -43,6 +44,9 @@ _PHONE = re.compile(
     r")(?![\d/=])(?!\.\d)(?!-\d)(?![ ,]\d{1,4}[ ,]\d)"
 )
 
+#: Any grouped number that a plus sign, a parenthesis or a zero opens; how people write numbers around it decides.
+_ANY_PHONE = re.compile(rf"(?<![\w+#@=./\-])(?<!\d[ ,])(?=[+(0])\+?\(?\d{{1,5}}\)?(?:{_S}{{1,2}}\(?\d{{1,6}}\)?){{1,6}}(?![\d/=])(?!\.\d)(?!-\d)")
+
 # --- identity numbers --------------------------------------------------------------------------
 _LABEL = (
     r"(?:SSN|soc\.[\s]+sec\.(?:[\s]+(?:number|no\.?))?|social[\s]+security(?:[\s]+(?:number|no\.?|nr\.?))?|social[\s]+insurance[\s]+(?:number|no\.?)|national[\s]+insurance(?:[\s]+(?:number|no\.?))?|NI[\s]+(?:number|no\.?)|NINO"
@@ -71,6 +75,9 @@ _ADDRESSES = [
     re.compile(rf"(?<![\w.,#\-/])\d{{1,4}}(?:{_GAP}?(?:bis|ter|quater))?,?{_GAP}(?:rue|avenue|impasse|chemin|allée|quai|boulevard|route|cours|square|ruelle|sentier|place|passage){_GAP}(?:de|du|des|d[’']|la|le|les|l[’']|{_CAP})[\w’'\-]*", _I),
 ]
 
+#: Capitalised words after or before a house number, whatever the kind of street; contexts decide.
+_ANY_ADDRESS = re.compile(rf"(?<![\w.,#\-/+])(?:\d{{1,4}}[A-Za-z]?(?:{_GAP}{_CAP}){{2,3}}(?=[,.;\n]|{_GAP}|$)|(?:{_CAP}{_GAP}){{2,4}}\d{{1,4}}(?=,{_GAP}\d{{4,5}}(?!\d)))")
+
 # --- names -------------------------------------------------------------------------------------
 _UP = "A-ZÀ-ÖØ-Þ"
 _PART = rf"[{_UP}](?:[\w¡-¿\xad]|[’'](?=\w))*"
@@ -149,12 +156,13 @@ def mentions(text: str, given: frozenset[str], family: frozenset[str], common: f
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
-        return not any(a < y and x < b for x, y in taken)
+        at = bisect_left(taken, (b, 0))  # taken never overlap, so only the last that starts before b can reach beyond a
+        return not at or taken[at - 1][1] <= a
 
     def add(kind: str, a: int, b: int, sure: bool, contexts: list[str] | None = None) -> None:
         if free(a, b):
             out.append((kind, a, b, sure, None, None, False, contexts or []))
-            taken.append((a, b))
+            insort(taken, (a, b))
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -181,11 +189,19 @@ def mentions(text: str, given: frozenset[str], family: frozenset[str], common: f
         if any(k in near for k in _STREET_KEYS):
             for shape in _ADDRESSES:
                 for m in shape.finditer(text, a, b):
-                    add("address", m.start(), m.end(), True)
+                    add("address", m.start(), m.end(), True, _contexts(text, m.start(), m.end(), emails))
         if n_digits >= 6:
             for m in _SOME_ID.finditer(text, a, b):
                 add("id_number", m.start(), m.end(), False, _contexts(text, m.start(), m.end(), emails))
 
+    for a, b, n_digits in _numbers(text):  # after all shapes, so that no generic candidate takes their place
+        if n_digits >= 8:
+            for m in _ANY_PHONE.finditer(text, a, b):
+                if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    add("phone", m.start(), m.end(), False, _contexts(text, m.start(), m.end(), emails))
+        for m in _ANY_ADDRESS.finditer(text, a, b):
+            add("address", m.start(), m.end(), False, _contexts(text, m.start(), m.end(), emails))
+
     def name(g: str, f: str, a: int, b: int, turned: bool) -> None:
         low_g, low_f = fold(g), fold(f)
         if (low_g in common and low_g not in given) or (low_f in common and low_f not in family) or _TITLE.fullmatch(g):
