@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.cluster import documents, table
+from lexmill.functions.metrics import text_metrics
 from lexmill.llm import copies, mixing, overlap, packing, pii, quality, repetition, sql, term_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p2_metrics", sql.P2_METRICS)
 def p2_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.sample_metrics(documents(spark, d))
+    return text_metrics(documents(spark, d), "doc_id").drop("repeated_char_hits")
 
 
 @query("p2_scores")
@@ -65,7 +66,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlapping_pairs(table(spark, d, "shard_summaries"))
 
 
-@query("p4_report")
+@query("p4_report", sql.P4_REPORT)
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "shard_summaries"))
 

@@ -42,11 +42,12 @@ def cut_poisson(mean: float, most: int) -> list[float]:
     """P(count <= k) for k = 0 .. most - 1; a hashed u in [0, 1) has the count of entries below or at u."""
     if math.isinf(mean):
         return [0.0] * most
-    term, total, out = math.exp(-mean), 0.0, []
+    if mean <= 0:
+        return [1.0] * most
+    total, out, log = 0.0, [], math.log(mean)
     for k in range(most):
-        total += term
+        total += math.exp(k * log - mean - math.lgamma(k + 1))  # in logarithms, as exp(-mean) alone would vanish
         out.append(min(total, 1.0))
-        term *= mean / (k + 1)
     return out
 
 
@@ -59,7 +60,7 @@ def mean_for(rate: float, most: int) -> float:
     if rate >= most:
         return math.inf
     low, high = 0.0, max(1.0, rate)
-    while _cut_mean(high, most) < rate and high < 600:
+    while _cut_mean(high, most) < rate and high < 1e12:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -97,17 +98,23 @@ def _offered(sizes: DataFrame, wanted: dict) -> DataFrame:
 def _drawn(rows: DataFrame, tries: dict[tuple[int, str], list[list[float]]]) -> dict[tuple[int, str], np.ndarray]:
     """Tokens drawn in each (mix, source) under each distribution tried."""
 
+    listed = {k: np.array(v, dtype=float) for k, v in tries.items()}
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, str], np.ndarray] = {}
         for b in batches:
-            mixes, sources = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), dtype=object)
-            n, u = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for key, cuts in tries.items():
-                at = (mixes == key[0]) & (sources == key[1])
-                if at.any():
-                    one, size = u[at], n[at]
-                    drawn = np.array([sum(int(size[one >= c].sum()) for c in cut) for cut in cuts], dtype=np.int64)
-                    total[key] = total.get(key, 0) + drawn
+            coded = b.column(1).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            key, u = b.column(0).to_numpy().astype(np.int64) * len(names) + code, b.column(3).to_numpy()
+            order = np.lexsort((u, key))  # the batch is sorted once; each group is then a run with ascending u
+            key, u, n = key[order], u[order], b.column(2).to_numpy()[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+            for a, z in zip(starts, [*starts[1:], len(key)]):
+                k = (int(key[a]) // len(names), names[int(key[a]) % len(names)])
+                if (cuts := listed.get(k)) is not None:
+                    from_top = np.r_[np.cumsum(n[a:z][::-1])[::-1], 0]  # tokens of documents at or above each u
+                    drawn = from_top[np.searchsorted(u[a:z], cuts, "left")].sum(axis=1).astype(np.int64)
+                    total[k] = total.get(k, 0) + drawn
         if total:
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([total[k].tolist() for k in keys], pa.list_(pa.int64()))], ["mix_id", "source", "drawn"])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.cluster import keep
-from lexmill.functions.text import ALNUM, INLINE_SPACE, WHITESPACE, count_of, ratio, strip_space, stripped_lines, words
+from lexmill.functions.text import INLINE_SPACE, WHITESPACE, ratio, strip_space, stripped_lines, words
 from lexmill.llm import boosted
 from lexmill.llm.holdout import HOLDOUT
 
@@ -184,32 +184,3 @@ def structural_documents(docs: DataFrame, common: DataFrame) -> DataFrame:
     """The documents that are structure by the exact definition, with what of it holds."""
     passed = scored_documents(docs, common).where(F.col("p_structural") >= GATE)
     return passed.withColumns({f"is_{k}": v for k, v in rules().items()}).where(_any(rules()))
-
-
-def sample_metrics(docs: DataFrame) -> DataFrame:
-    """The recorded per-document figures, computed anew from the whole text; all 0 for an empty text."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    w = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    pieces = F.filter(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: x.rlike(f"[^{WHITESPACE}]"))
-    base = docs.select("doc_id", t.alias("t"), w.alias("w"), pieces.alias("lines"))
-    n = F.char_length("t")
-
-    def share(char_class: str) -> Column:
-        return F.round(ratio(count_of(F.col("t"), char_class), n), 6)
-
-    return base.select(
-        "doc_id",
-        n.alias("decoded_chars"),
-        F.size("w").alias("decoded_words"),
-        F.size(F.array_distinct(F.transform("w", F.lower))).alias("unique_words"),
-        F.round(ratio(F.size(F.array_distinct(F.transform("w", F.lower))), F.size("w")), 6).alias("unique_word_ratio"),
-        share(r"\x00-\x7f").alias("ascii_ratio"),
-        share(WHITESPACE).alias("whitespace_ratio"),
-        share(r"\p{Nd}").alias("digit_ratio"),
-        F.round(ratio(n - count_of(F.col("t"), ALNUM + WHITESPACE), n), 6).alias("punctuation_ratio"),
-        F.round(ratio(F.char_length(F.regexp_replace("t", rf"[^\p{{C}}\p{{Z}}]+|[{WHITESPACE}]+", "")), n), 6).alias("non_printable_ratio"),
-        F.regexp_count("t", F.lit(r"(?i)https?://|www\.")).alias("url_hits"),
-        F.regexp_count("t", F.lit("<[^>]+>")).alias("html_hits"),
-        F.size("lines").alias("line_count"),
-        F.round(ratio(F.char_length(F.array_join("lines", "")), F.size("lines")), 6).alias("avg_line_length"),
-    )

@@ -75,6 +75,19 @@ pairs AS (SELECT t.k AS tk, e.k AS ek, t.n AS tn, e.n AS en, count(*) AS c
 SELECT least(tk, ek) AS preview_a, greatest(tk, ek) AS preview_b FROM pairs WHERE 2 * c >= tn + en - c
 """
 
+P4_REPORT = r"""
+WITH once AS (SELECT * FROM shard_summaries QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY loaded_at NULLS LAST) = 1),
+p AS (SELECT shard_id * 1000 + i - 1 AS k, regexp_extract(lower(shard_name), '_(train|val|test)_', 1) AS split, lower(trim(source)) AS source,
+  regexp_extract_all(lower(sample_previews[i]), '[\p{L}\p{N}]+') AS w FROM once, unnest(generate_series(1, len(sample_previews))) AS u(i)),
+s AS (SELECT k, split, source, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s
+  FROM p WHERE len(w) >= 8 AND split <> ''),
+g AS (SELECT k, split, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT t.k AS tk, e.k AS ek, t.n AS tn, e.n AS en, count(*) AS c FROM g t JOIN g e ON t.g = e.g AND t.split = 'train' AND e.split <> 'train' GROUP BY ALL),
+best AS (SELECT ek AS k, max(c / (tn + en - c)) AS similarity FROM pairs WHERE 2 * c >= tn + en - c GROUP BY ek)
+SELECT split, coalesce(source, 'unknown') AS source, count(*) AS previews, count(similarity) AS found, count(*) FILTER (similarity = 1) AS identical, round(max(similarity), 6) AS best_similarity
+FROM s LEFT JOIN best USING (k) WHERE split <> 'train' GROUP BY 1, 2
+"""
+
 _P5 = r"""
 WITH parsed AS (
   SELECT cand_id, CASE WHEN record IS NOT NULL THEN CAST(record->>'$.n' AS INT) ELSE n END AS n,

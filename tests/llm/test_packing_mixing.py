@@ -94,3 +94,19 @@ def test_empty(make):
     assert mixing.mixed_documents(docs, targets).count() == 0 == mixing.mixture_report(docs, targets).count()
     assert packing.packed_documents(none, make([(1, 8, None)], plans.drop("h1").schema)).count() == 0
     assert mixing.mixed_documents(none, make([(1, "a", 1.0, 1)], targets.drop("h1").schema)).count() == 0
+
+
+def test_large_repeats_and_drawn_sizes_against_a_plain_sum(make):
+    import numpy as np
+
+    from lexmill.llm import mixing
+
+    for rate, most in ((900.0, 2000), (0.3, 1), (2.5, 3), (1499.0, 1500)):
+        mean = mixing.mean_for(rate, most)
+        assert abs(mixing._cut_mean(mean, most) - rate) < 1e-3 * rate
+    rows = make([(m, s, i, 1 + i % 5, (i * 37 % 100) / 100) for i in range(200) for m, s in ((1, "a"), (1, "b"), (2, "a"))], "mix_id int, source string, doc_id bigint, n_tokens bigint, u double")
+    tries = {(1, "a"): [[0.2, 0.5], [0.0, 0.99]], (2, "a"): [[0.37, 0.37], [1.0, 1.0]]}
+    got = mixing._drawn(rows, tries)
+    for k, cuts in tries.items():
+        assert got[k].tolist() == [sum(1 + i % 5 for i in range(200) for c in cut if (i * 37 % 100) / 100 >= c) for cut in cuts]
+    assert isinstance(got[(1, "a")], np.ndarray)

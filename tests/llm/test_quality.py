@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexmill.functions.metrics import text_metrics
 from lexmill.llm import boosted, quality
 from lexmill.llm.holdout import HOLDOUT
 
@@ -58,7 +59,7 @@ def test_odd_rows(make):
     rows = [(1, None), (2, " \r\n"), (3, "%% @@ ★ ★ ab"), (None, "a\rb\r\nc\nd"), (5, "The end."), (5, "The end."), (6, "x" * 200_000)]
     docs = make(rows, "doc_id bigint, text string")
     assert sorted(str(r.doc_id) for r in quality.structural_documents(docs, common).collect()) == ["3", "None"]
-    out = quality.sample_metrics(docs).collect()
+    out = text_metrics(docs, "doc_id").collect()
     assert len(out) == 7 and {r.decoded_chars for r in out if r.doc_id == 1} == {0}
     assert quality.structural_documents(make([], "doc_id bigint, text string"), common).count() == 0
     assert quality.structural_documents(docs, make([], "word string")).count() == 2
