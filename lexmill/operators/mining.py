@@ -140,6 +140,31 @@ def greedy_merges(stream: DataFrame, candidates: DataFrame, n: int = 3) -> DataF
     return counted.select("scope", "tokens", "merges", (F.col("merges") * (n - 1)).alias("saved"))
 
 
+def greedy_longest_merges(stream: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per stream: tokens, merges and tokens saved of a left-to-right pass that takes a trigram where it can, else a bigram.
+
+    As in greedy_merges the pass runs within islands of places, which no merge reaches across.
+    """
+    marks = []
+    for n in (3, 2):
+        ids = [F.split("gram", " ")[k].cast("int").alias(f"i{k}") for k in range(n)]
+        keys = candidate_grams(candidates, n).select(*ids).select(_packed(n).alias("key")).distinct()
+        marks.append(_rows(stream, n, "scope", "pos").join(keys, "key", "left_semi").select("scope", "pos", F.lit(n).alias("size")))
+    longest = marks[0].unionByName(marks[1]).groupBy("scope", "pos").agg(F.max("size").alias("size"))
+    w = Window.partitionBy("scope").orderBy("pos")
+    fresh = F.coalesce(F.col("pos") - F.lag("pos").over(w) >= 3, F.lit(True))
+    islands = longest.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(w))
+    none = F.lit(0).cast("bigint")
+    passed = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("pos", F.col("size").cast("bigint").alias("size")))),
+        F.struct(none.alias("free"), none.alias("merges"), none.alias("saved")),
+        lambda a, p: F.when(p["pos"] >= a["free"], F.struct((p["pos"] + p["size"]).alias("free"), (a["merges"] + 1).alias("merges"), (a["saved"] + p["size"] - 1).alias("saved"))).otherwise(a),
+    )
+    each = islands.groupBy("scope", "island").agg(passed.alias("p")).groupBy("scope").agg(F.sum("p.merges").alias("merges"), F.sum("p.saved").alias("saved"))
+    sizes = stream.groupBy("scope").agg(F.sum("n").alias("tokens"))
+    return sizes.join(each, "scope", "left").select("scope", "tokens", F.coalesce("merges", F.lit(0)).alias("merges"), F.coalesce("saved", F.lit(0)).alias("saved"))
+
+
 def savings_report(per_stream: DataFrame) -> DataFrame:
     one = per_stream.agg(F.sum("tokens").alias("tokens"), F.sum("merges").alias("merges"), F.sum("saved").alias("saved"), F.count_if(F.col("saved") > 0).alias("streams_with_merges"))
     return one.withColumn("percent_saved", F.round(F.try_divide(F.col("saved") * 100.0, F.col("tokens")), 6))

@@ -138,6 +138,35 @@ def batches(layout: DataFrame, seq_len: int, ranks: int) -> DataFrame:
     return s.select("split", "tokens", n.alias("sequences"), F.when(n > 0, n * seq_len + 1).otherwise(0).alias("usable_tokens"), F.floor(n / ranks).alias("steps"))
 
 
+def chunk_plan(stats: DataFrame, seq_len: int, most_chunk_tokens: int) -> DataFrame:
+    """split, chunk (from 0), tokens of stats(split, written): whole sequences, cut into chunks of whole sequences.
+
+    Fails where a split has less than one sequence.
+    """
+    usable = F.floor(F.col("written") / seq_len) * seq_len
+    checked = F.when(usable > 0, usable).otherwise(F.raise_error(F.lit(f"token budget too small for seq_len={seq_len}")).cast("bigint"))
+    size = max(most_chunk_tokens // seq_len * seq_len, seq_len)
+    rows = stats.select("split", checked.alias("usable")).select("split", "usable", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("usable") - 1) / size))).alias("chunk"))
+    return rows.select("split", "chunk", F.least(F.col("usable") - F.col("chunk") * size, F.lit(size).cast("bigint")).alias("tokens"))
+
+
+def rank_batches(stats: DataFrame, seqs: int, seq_len: int, ranks: int, steps: int) -> DataFrame:
+    """split, step, rank, first, last, wraps of stats(split, written): the span + 1 tokens that each rank reads at each step.
+
+    The stream is read in a circle; inputs are the span's first tokens, targets the same shifted by one.
+    """
+    span = seqs * seq_len + 1
+    grid = stats.where("written > 0").select("split", "written", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")).select("split", "written", "step", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))).alias("rank"))
+    at = (F.col("step").cast("bigint") * ranks + F.col("rank")) * span
+    first = F.pmod(at, F.col("written"))
+    return grid.select("split", "step", "rank", first.alias("first"), F.pmod(at + span - 1, F.col("written")).alias("last"), (first + span > F.col("written")).alias("wraps"))
+
+
+def scheduled_scales(steps: DataFrame, until: int, before: dict[str, float], after: dict[str, float]) -> DataFrame:
+    """steps(step) with the gradient scale of each token class: those of `before` up to a step, then those of `after`."""
+    return steps.select("step", *(F.when(F.col("step") < until, F.lit(before[k])).otherwise(F.lit(after[k])).alias(f"{k}_scale") for k in before))
+
+
 def run_summaries(lines: DataFrame) -> DataFrame:
     """One row per run of training-log lines (run, line_no, line): the last value of each figure, rank by bits per byte."""
     l = F.col("line")  # noqa: E741

@@ -151,3 +151,20 @@ SELECT run, (row_number() OVER (ORDER BY val_bpb NULLS LAST, run))::INT AS place
 )
 def run_log_summary(spark: SparkSession, d: str) -> DataFrame:
     return sh.run_summaries(spark.createDataFrame(_LOG, "run string, line_no int, line string"))
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return sh.export_stats(sh.export_layout(_ordered_counts(spark, d), 100, _SHARD), _SHARD)
+
+
+@query("chunk_plan", _layout_sql(None) + f", {_STATS}, u AS (SELECT split, written // 256 * 256 AS usable FROM st) SELECT split, i AS chunk, least(65536, usable - i * 65536)::BIGINT AS tokens FROM u, range(10000) r(i) WHERE i * 65536 < usable")
+def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of each split in chunks of whole sequences."""
+    return sh.chunk_plan(_stats(spark, d), 256, 65_700)
+
+
+@query("rank_batches", _layout_sql(None) + f""", {_STATS}, g AS (SELECT split, written, s AS step, r AS rank, (s * 8 + r) * 2049 AS o FROM st, range(400) x(s), range(8) y(r) WHERE written > 0)
+SELECT split, step::INT AS step, rank::INT AS rank, o % written AS first, (o + 2048) % written AS last, o % written + 2049 > written AS wraps FROM g""")
+def rank_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Where each of 8 ranks reads in the token stream at each of 400 steps."""
+    return sh.rank_batches(_stats(spark, d), 8, 256, 8, 400)
