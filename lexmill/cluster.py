@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,3 +143,22 @@ def attached(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str =
     keys = list(keys)
     counted = lookup.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
     return hot_lookup(rows, counted, keys, "__n", how).drop("__n")
+
+
+def salted(rows: DataFrame, keys: Sequence[str], by: Sequence[str], most: int = 20_000) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(rows with __salt, spread), for rows that are joined to small lookups on the same keys again and again.
+
+    spread(lookup) repeats the lookup's row of a hot key for each of its salts; joined on the keys and
+    __salt, no more than about `most` rows meet under one key. Hot keys are those with more rows than
+    that, or more than total / HOT_KEYS, so that there are at most HOT_KEYS, which are broadcast.
+    """
+    keys = list(keys)
+    limit = max(most, -(-rows.count() // HOT_KEYS))
+    hot = keep(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__salts")).limit(HOT_KEYS), "hot")
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__salts"))).cast("int")
+
+    def spread(lookup: DataFrame) -> DataFrame:
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0)))
+        return lookup.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(salts)).drop("__salts")
+
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__salts"), spread
