@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.cluster import attached, keep
+from lexmill.cluster import keep, salted
 from lexmill.llm.pii_shapes import fold, mentions
 
 ROUNDS = 3
@@ -67,31 +67,50 @@ def _context_scores(graph: DataFrame) -> DataFrame:
     return scored.where(F.col("hits") >= LEAST_INSTANCES).select("kind", "context", (F.col("hits") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= 0.3)
 
 
-def _support(cand: DataFrame, scores: DataFrame) -> DataFrame:
-    """doc_id, kind, start, stop, support: the best score among a candidate's contexts."""
-    edges = cand.select("doc_id", "kind", "start", "stop", F.explode("contexts").alias("context"))
-    return attached(edges, scores, ["kind", "context"]).groupBy("doc_id", "kind", "start", "stop").agg(F.max("score").alias("support"))
+_PLACE = ["doc_id", "kind", "start", "stop"]
 
 
-def _known(cand: DataFrame, words: DataFrame) -> DataFrame:
-    """cand with g and f: whether its given and family part are known as such."""
-    g = words.where("role = 'given'").select(F.col("word").alias("given"), F.lit(True).alias("g")).distinct()
-    f = words.where("role = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("f")).distinct()
-    initials = cand.where("given = '.'").withColumn("g", F.lit(None).cast("boolean"))  # no word of theirs could be known
-    out = attached(attached(cand.where("given <> '.'"), g, ["given"], "left").unionByName(initials), f, ["family"], "left")
-    return out.withColumns({"g": F.coalesce("g", F.lit(False)), "f": F.coalesce("f", F.lit(False)), "initial": F.col("given") == "."})
+class _Edges:
+    """The edges from candidates to their contexts, salted once for all rounds."""
 
+    def __init__(self, cand: DataFrame, name: str):
+        edges = cand.select(*_PLACE, F.explode("contexts").alias("context"))
+        rows, self.spread = salted(edges, ["kind", "context"], ["doc_id", "start"])
+        self.rows = keep(rows, f"{name}-edges")
 
-def _name_rounds(names: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def support(self, scores: DataFrame) -> DataFrame:
+        """doc_id, kind, start, stop, support: the best score among a candidate's contexts."""
+        return self.rows.join(self.spread(scores), ["kind", "context", "__salt"]).groupBy(*_PLACE).agg(F.max("score").alias("support"))
+
+
+class _Names:
+    """Candidates for names, whose words are looked up in every round; frequent words are salted once."""
+
+    def __init__(self, cand: DataFrame):
+        # an initial is no word that could be known; its rows get keys of their own
+        own = F.when(F.col("given") == ".", F.concat_ws(" ", F.lit("."), "doc_id", "start")).otherwise(F.col("given"))
+        rows, self.spread_given = salted(cand.withColumn("given_key", own), ["given_key"], ["doc_id", "start"])
+        rows, self.spread_family = salted(rows.withColumnRenamed("__salt", "given_salt"), ["family"], ["doc_id", "start"])
+        self.rows = keep(rows.withColumnRenamed("__salt", "family_salt"), "names")
+
+    def known(self, words: DataFrame) -> DataFrame:
+        """The candidates with g and f: whether their given and family part are known as such."""
+        g = self.spread_given(words.where("role = 'given'").select(F.col("word").alias("given_key"), F.lit(True).alias("g")).distinct()).withColumnRenamed("__salt", "given_salt")
+        f = self.spread_family(words.where("role = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("f")).distinct()).withColumnRenamed("__salt", "family_salt")
+        out = self.rows.join(g, ["given_key", "given_salt"], "left").join(f, ["family", "family_salt"], "left")
+        return out.withColumns({"g": F.coalesce("g", F.lit(False)), "f": F.coalesce("f", F.lit(False)), "initial": F.col("given") == "."})
+
+
+def _name_rounds(names: _Names, edges: _Edges, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(words, context scores) after ROUNDS rounds over the graph of names and contexts."""
     words = seeds
     scores = None
     for round_no in range(ROUNDS):
-        known = _known(names, words)
+        known = names.known(words)
         instance = F.concat_ws(" ", "given", "family")
         graph = known.select("kind", F.explode("contexts").alias("context"), instance.alias("instance"), (F.col("g") | F.col("f")).alias("believed"))
         scores = keep(_context_scores(graph), f"contexts-{round_no}")
-        told = known.join(_support(names, scores), ["doc_id", "kind", "start", "stop"], "left").withColumn("good", F.coalesce(F.col("support") >= TRUST, F.lit(False)))
+        told = known.join(edges.support(scores), _PLACE, "left").withColumn("good", F.coalesce(F.col("support") >= TRUST, F.lit(False)))
         both = told.where("not turned").select(  # in turned order any word before a comma would pass for a family name
             F.explode(F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word"), F.col("family").alias("partner"), F.col("f").alias("by")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word"), F.col("given").alias("partner"), F.col("g").alias("by")))).alias("w"), "good").select("w.*", "good")
         each = both.where("word <> '.'").groupBy("role", "word", "partner").agg(F.max((F.col("by") & F.col("good")).cast("int")).alias("firm"), F.max((F.col("by") | F.col("good")).cast("int")).alias("b"))
@@ -106,15 +125,14 @@ def _number_rounds(other: DataFrame) -> DataFrame:
 
     What shapes are certain of is the seed; what a round admits speaks for contexts in the next one.
     """
-    believed = F.col("sure")
-    places = ["doc_id", "kind", "start", "stop"]
-    rows = other.where("kind <> 'email'").select(*places, "sure", "contexts")
+    rows = other.where("kind <> 'email'").select(*_PLACE, "sure", "contexts")
+    edges = _Edges(rows.where("not sure"), "numbers")
     admitted = None
     for round_no in range(ROUNDS):
-        told = rows if admitted is None else rows.join(admitted.withColumn("told", F.lit(True)), places, "left").withColumn("sure", believed | F.coalesce("told", F.lit(False)))
+        told = rows if admitted is None else rows.join(admitted.withColumn("told", F.lit(True)), _PLACE, "left").withColumn("sure", F.col("sure") | F.coalesce("told", F.lit(False)))
         graph = told.select("kind", F.explode("contexts").alias("context"), F.concat_ws(":", "doc_id", "start").alias("instance"), F.col("sure").alias("believed"))
         scores = keep(_context_scores(graph), f"number-contexts-{round_no}")
-        admitted = keep(_support(rows.where("not sure"), scores).where(F.col("support") >= TRUST).select(*places), f"admitted-{round_no}")
+        admitted = keep(edges.support(scores).where(F.col("support") >= TRUST).select(*_PLACE), f"admitted-{round_no}")
     return admitted
 
 
@@ -134,9 +152,9 @@ def found_mentions(docs: DataFrame, lexicon: DataFrame, common: DataFrame) -> Da
     """doc_id, pii_kind, start_char, stop_char of every mention."""
     cand = candidates(docs, lexicon, common)
     seeds = lexicon.where("name is not null and name_part is not null").select(F.translate(F.lower("name"), "’", "'").alias("word"), F.col("name_part").alias("role")).distinct()
-    names = cand.where("kind = 'name'")
-    words, name_scores = _name_rounds(names, seeds)
-    supported = _known(names, words).join(_support(names, name_scores), ["doc_id", "kind", "start", "stop"], "left")
+    names, edges = _Names(cand.where("kind = 'name'")), _Edges(cand.where("kind = 'name'"), "names")
+    words, name_scores = _name_rounds(names, edges, seeds)
+    supported = names.known(words).join(edges.support(name_scores), _PLACE, "left")
     support = F.coalesce("support", F.lit(0.0))
     believed: Column = (F.col("f") & (F.col("g") | F.col("initial"))) | (~F.col("turned") & (((support >= TRUST) & ~F.col("initial")) | ((support >= 0.4) & (F.col("f") | F.col("g")))))
     strength = F.when(F.col("f") & F.col("g"), 3).when(F.col("f") & F.col("initial"), 2).otherwise(1)
