@@ -369,9 +369,21 @@ def restored(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
     return docs.select("doc_id", restoration(docs.sparkSession, phrases)(F.col("text")).alias("text"))
 
 
+#: Most forced phrases: the list goes to every worker, and more than that is refused.
+MOST_PHRASES = 2_000_000
+
+
+def listed_phrases(phrases: DataFrame) -> list[tuple[str, str]]:
+    """(text, placeholder) in order of text; the number is checked."""
+    rows = phrases.select("text", "placeholder").limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    return sorted((r.text, r.placeholder) for r in rows)
+
+
 def distinct_marks(phrases: DataFrame) -> list[tuple[str, str]]:
     """(text, placeholder) of phrases that differ in more than case; placeholders that several share are numbered."""
-    rows = sorted((r.text, r.placeholder) for r in phrases.select("text", "placeholder").collect())
+    rows = listed_phrases(phrases)
     keys: dict[str, tuple[str, str]] = {}
     for text, mark in rows:
         keys.setdefault(" ".join(_low(text).split()), (text, mark))
@@ -397,7 +409,7 @@ def round_trip(docs: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
 
 def phrase_usage(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """placeholder, uses, docs: occurrences of the phrases (text, placeholder) in one pass over each text, longest phrase first."""
-    listed = [(r.text, r.placeholder) for r in sorted(phrases.select("text", "placeholder").collect())]
+    listed = listed_phrases(phrases)
     marks = _per_text(docs.sparkSession, listed, lambda p: (lambda index: lambda t: [m for _, _, m in index.find(t)])(Phrases(p)), "array<string>")
     found = docs.select("doc_id", F.explode(marks("text")).alias("placeholder"))
     return found.groupBy("placeholder").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))

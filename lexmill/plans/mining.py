@@ -58,7 +58,11 @@ def ngram_merge_values(spark: SparkSession, d: str) -> DataFrame:
     return mining.merge_values(stream(spark, d))
 
 
-@query("best_ngrams_decoded")
+@query(
+    "best_ngrams_decoded",
+    f"""{_S}, u AS (SELECT id, count(*) AS f FROM s GROUP BY id), tot AS (SELECT count(*) AS total FROM s), v AS ({_values(2)} UNION ALL {_values(3)}), b AS (SELECT * FROM v ORDER BY merge_value DESC, n, gram LIMIT 2000),
+w AS (SELECT n, gram, string_agg(piece, '' ORDER BY k) AS text FROM (SELECT n, gram, unnest(string_split(gram, ' '))::INT AS id, generate_subscripts(string_split(gram, ' '), 1) AS k FROM b) JOIN vocab USING (id) GROUP BY n, gram) SELECT b.*, w.text FROM b JOIN w USING (n, gram)""",
+)
 def best_ngrams_decoded(spark: SparkSession, d: str) -> DataFrame:
     return mining.decoded(keep(mining.merge_values(stream(spark, d)), "values"), table(spark, d, "vocab"), 2000)
 

@@ -251,6 +251,24 @@ def test_hot_lookup_keeps_all_rows(spark):
     assert cluster.hot_lookup(rows.limit(0), lookup.limit(0), ["k"], "n").count() == 0
 
 
+def test_kept_tables_can_be_cleaned(spark):
+    import os
+
+    folder = f"{cluster.shared_dir(spark).removeprefix('file://')}/{spark.sparkContext.applicationId}"
+    assert cluster.keep(spark.range(3), "few").count() == 3 and os.path.isdir(folder)
+    cluster.clean(spark)
+    assert not os.path.exists(folder)
+
+
+def test_salted_rows_join_like_plain_ones(spark):
+    rows = spark.createDataFrame([("hot" if i % 2 else f"k{i % 7}", i) for i in range(200)] + [(None, 999)], "k string, i int")
+    marked, spread = cluster.salted(rows, ["k"], ["i"], 10)
+    assert marked.where("k = 'hot'").select("__salt").distinct().count() > 1
+    lookup = spark.createDataFrame([("hot", 1), ("k0", 2), ("none", 3)], "k string, v int")
+    got = sorted((r.k, r.i, r.v) for r in marked.join(spread(lookup), ["k", "__salt"]).collect())
+    assert got == sorted((r.k, r.i, r.v) for r in rows.join(lookup, "k").collect())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string, shard_name string")
     vocab = spark.createDataFrame(BYTES, "id int, piece string")
