@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ def source_of(name: str = "source"):
 def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens of every row; the text goes no further. Null and empty texts have 0 tokens."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # for executors whose machine has no such path
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(os.path.basename(tokenizer))).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "n_tokens"])
