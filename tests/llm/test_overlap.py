@@ -1,6 +1,10 @@
 import random
 import re
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from lexmill.cluster import shared_dir
 from lexmill.llm import overlap
 
 SCHEMA = "shard_id bigint, shard_name string, source string, loaded_at timestamp, sample_previews array<string>"
@@ -70,3 +74,49 @@ def test_report_and_empty(make):
     got = {(r.split, r.source): (r.previews, r.found, r.identical) for r in overlap.overlap_report(make(rows, SCHEMA)).collect()}
     assert got == {("val", "web"): (2, 1, 1), ("test", "unknown"): (1, 1, 1)}
     assert overlap.overlapping_pairs(make([], SCHEMA)).count() == 0
+
+
+def test_rounds_and_slices_give_the_same(make, monkeypatch):
+    for name, value in (("FEW_WORDS", 1), ("SAMPLED", 1), ("ROUND_SHARE", 0.05), ("SALT_ROWS", 2), ("BATCH_ENTRIES", 7), ("CELL_BITS", 6), ("BLOCK_BITS", 4), ("FILTER_BITS", 15)):
+        monkeypatch.setattr(overlap, name, value)
+    made, maker = [], overlap._entry_maker
+    monkeypatch.setattr(overlap, "_entry_maker", lambda *a: made.append(a[-2:]) or maker(*a))
+    rows = shards(random.Random(4))
+    assert {tuple(r) for r in overlap.overlapping_pairs(make(rows, SCHEMA)).collect()} == brute(rows)
+    assert len(set(made)) > 3 and max(nth for _, nth in made) > 1
+
+
+def test_disk_follows_the_input(spark, tmp_path):
+    """Kept tables and shuffle files that stay, against the table as it is stored."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(600)]
+    text = lambda: " ".join(rnd.choice(vocabulary) for _ in range(36))
+    rows = [(i, f"m_{'val' if i % 5 == 0 else 'train'}_{i}.bin", "web", None, [text() for _ in range(50)]) for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "shards"))
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+    kept = Path(shared_dir(spark).removeprefix("file:"))
+    shards_read = spark.read.parquet(str(tmp_path / "shards"))
+    at = shuffled() + size(kept)
+    members, links = overlap.cross_split(shards_read)
+    assert links.count() == 0 and members.count() == 10_000
+    assert shuffled() + size(kept) - at < 3 * size(tmp_path / "shards")
+
+
+def test_copies_make_no_entries(spark, make):
+    """Of a text that stands often on both sides, one member of each side meets the other."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, f"m_{'val' if i % 3 == 0 else 'train'}_{i}.bin", "web", None, [text, f"{text} item {i} of its own kind and place"]) for i in range(60)]
+    words = overlap.word_codes(overlap.previews(make(rows, SCHEMA)), 3, 8)
+    classes = overlap._coded(words, 3).groupBy("c1", "c2", "is_train").agg(F.min("key").alias("set_id"), F.count("*").alias("n_members"))
+    known = spark.sparkContext.broadcast(overlap._repeated(classes))
+    counts = overlap._cell_counts(words, 3, 16, known)
+    make_entries = overlap._entry_maker(3, 16, 0.5, spark.sparkContext.broadcast(counts), known, 2_000, 1, 0)
+    entries = words.select("key", "is_train", "w").mapInArrow(make_entries, overlap._ENTRIES).groupBy("c1").count()
+    assert max(r["count"] for r in entries.collect()) <= 16  # the shingles of one set, on two sides
+    assert {tuple(r) for r in overlap.overlapping_pairs(make(rows, SCHEMA)).collect()} == brute(rows)
